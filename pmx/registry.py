@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The modules of pmx.plans, in order.
+PLANS = ["prices"]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -37,3 +40,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
+    for name in PLANS:
+        import_module(f"pmx.plans.{name}")
