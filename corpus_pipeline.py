@@ -1,25 +1,57 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the docs of the next; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pmx.llm.common import durable, table
-from pmx.llm.op1_quality_rules import quality_rules, train
+from pmx.llm.op1_quality_rules import keep_documents, train
+from pmx.llm.op4_decontamination import decontaminate
+from pmx.llm.op8_packing import pack_documents
+from pmx.llm.op9_line_dedup import line_dedup
+from pmx.llm.op10_ngram_jaccard import ngram_jaccard
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return keep_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of similar lines the first stays; documents without a word left go."""
+    return line_dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link, the one with the smallest doc_id stays."""
+    gone = ngram_jaccard(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = durable(decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdict = quality_rules(docs, train(docs, table(spark, sf_dir, "labels")))
-    return docs.join(verdict.filter("kept").select("doc_id"), "doc_id", "left_semi")
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids, as the pieces of documents in them."""
+    return pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality)]
-#: Trees, MinHash and vectors have no SQL form.
+STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("ngram_jaccard", near_duplicates),
+          ("decontamination", decontamination), ("packing", packing)]
+#: Trees, MinHash, latent vectors and tokenizers have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -160,15 +160,20 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int] | None = None) -> Tree
     return out
 
 
+def _verdicts(texts: list[str], model: Trees | None):
+    """Base counts, base_failed, kept and score of some texts."""
+    base, feats = zip(*map(statistics, texts), strict=True)
+    base, x = np.array(base, np.int64).reshape(len(texts), 5), np.array(feats).reshape(len(texts), -1)
+    failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
+    score = model.probability(x) if model else np.where(failed, 0.0, 1.0)
+    return base, failed, ~failed & (score >= KEEP_AT), score
+
+
 def _rows(it, model: Trees | None):
     for batch in it:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for at, texts in text_blocks(batch):
-            base, feats = zip(*map(statistics, texts), strict=True)
-            base, x = np.array(base, np.int64).reshape(len(texts), 5), np.array(feats).reshape(len(texts), -1)
-            failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
-            score = model.probability(x) if model else np.where(failed, 0.0, 1.0)
-            kept = ~failed & (score >= KEEP_AT)
+            base, failed, kept, score = _verdicts(texts, model)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, len(texts)), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(score)],
                 names=["doc_id", *_BASE, "base_failed", "kept", "score"])
@@ -202,6 +207,18 @@ def quality_rules(docs: DataFrame, model: Trees | None) -> DataFrame:
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
 
 
+def keep_documents(docs: DataFrame, model: Trees | None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns, in the same pass."""
+
+    def rows(it):
+        for batch in it:
+            kept = [_verdicts(texts, model)[2] for _, texts in text_blocks(batch)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, train(docs, table(spark, sf_dir, "labels")))
