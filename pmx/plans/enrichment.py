@@ -240,14 +240,30 @@ def t8_state_stats(spark, sf_dir):
     return timeline(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("markets"), rnd(F.avg(F.abs("delta_price"))).alias("avg_move"), rnd(F.stddev_samp("delta_price")).alias("sd"), rnd(F.avg("count")).alias("avg_size"))
 
 
-@register("t8_anomalies", oracle("""SELECT ticker, trade_id, previous, state, CASE WHEN previous = 'DORMANT' THEN 'reawakening' ELSE 'jump' END AS label FROM tl WHERE (previous, state) IN (('DORMANT', 'HIGH_ACTIVITY'), ('DORMANT', 'ACTIVE'), ('EARLY_TRADING', 'RESOLVING'), ('EARLY_TRADING', 'ACTIVE'), ('ACTIVE', 'EARLY_TRADING'))""", **_TL))
+#: Transitions that should not happen, and their names.
+ODD = {("EARLY_TRADING", "RESOLVING"): "information_event", ("NEWLY_LISTED", "HIGH_ACTIVITY"): "bot_or_manipulation",
+       ("DORMANT", "RESOLVING"): "sudden_resolution", ("ACTIVE", "NEWLY_LISTED"): "impossible_regression"}
+_ODD = "CASE " + " ".join(f"WHEN previous = '{a}' AND state = '{b}' THEN '{n}'" for (a, b), n in ODD.items()) + " END"
+
+
+def odd_transition():
+    out = F.lit(None).cast("string")
+    for (a, b), name in ODD.items():
+        out = F.when((C("previous") == a) & (C("state") == b), name).otherwise(out)
+    return out
+
+
+@register("t8_anomalies", oracle(f"SELECT ticker, created_time, previous AS from_state, state AS to_state, norm_price, seq AS trade_sequence_num, {_ODD} AS transition_type FROM tl WHERE {_ODD} IS NOT NULL", **_TL))
 def t8_anomalies(spark, sf_dir):
-    """Unusual transitions between states."""
-    pairs = [("DORMANT", "HIGH_ACTIVITY"), ("DORMANT", "ACTIVE"), ("EARLY_TRADING", "RESOLVING"), ("EARLY_TRADING", "ACTIVE"), ("ACTIVE", "EARLY_TRADING")]
-    test = F.lit(False)
-    for a, b in pairs:
-        test = test | (C("previous") == a) & (C("state") == b)
-    return timeline(spark, sf_dir).filter(test).select("ticker", "trade_id", "previous", "state", F.when(C("previous") == "DORMANT", "reawakening").otherwise("jump").alias("label"))
+    t = timeline(spark, sf_dir).withColumn("transition_type", odd_transition()).filter("transition_type IS NOT NULL")
+    return t.select("ticker", "created_time", C("previous").alias("from_state"), C("state").alias("to_state"), "norm_price", "trade_sequence_num", "transition_type")
+
+
+@register("t8_transitions", oracle(f"SELECT previous AS from_state, state AS to_state, {_ODD} AS transition_type, COUNT(*) AS n, COUNT(DISTINCT ticker) AS markets FROM tl WHERE previous <> state GROUP BY 1, 2, 3", **_TL))
+def t8_transitions(spark, sf_dir):
+    """All changes of state, the odd ones named."""
+    t = timeline(spark, sf_dir).filter("previous != state")
+    return t.groupBy(C("previous").alias("from_state"), C("state").alias("to_state"), odd_transition().alias("transition_type")).agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("markets"))
 
 
 @register("t8_durations", oracle("""SELECT state, COUNT(*) AS stints, ROUND(AVG(h), 6) AS mean, ROUND(QUANTILE_CONT(h, 0.25), 6) AS p25, ROUND(QUANTILE_CONT(h, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(h, 0.75), 6) AS p75 FROM (SELECT ticker, stint, state, EPOCH(MAX(created_time) - MIN(created_time)) / 3600.0 AS h FROM tl GROUP BY 1, 2, 3) GROUP BY state""", **_TL))
