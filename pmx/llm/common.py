@@ -102,6 +102,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Filter:
+    """A Bloom filter over well-mixed 64-bit keys; false alarms only. Its size is bounded, whatever the number of keys."""
+
+    SHIFTS, MOST_BITS = (0, 11, 22, 33), 1 << 27
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        bits = 1 << 16
+        while bits < min(16 * n, self.MOST_BITS):
+            bits *= 2
+        self.mask = bits - 1
+        pos = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(self.mask)) for s in self.SHIFTS])).alias("pos")
+        words = keys.select(pos).selectExpr("pos >> 6 AS word", "shiftleft(1L, CAST(pos & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        self.words = np.zeros(bits // 64, np.uint64)
+        self.words[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64)
+        ok = np.ones(len(k), bool)
+        for s in self.SHIFTS:
+            pos = (k >> np.uint64(s)) & np.uint64(self.mask)
+            ok &= (self.words[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as (node, component) with the
     smallest node of each component; nodes without an edge do not appear.

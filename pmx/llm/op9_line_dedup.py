@@ -3,8 +3,8 @@
 A line (trimmed of white space) of ``MIN_BYTES`` or more is a set of ``SHINGLE``-byte shingles. One hash
 of each shingle fills a signature of one-permutation MinHash (empty slots borrow from
 others), bands of ``ROWS`` slots give tokens, and lines that share a token are candidates: first each
-token's lines against its smallest, then all that are still in different components. Candidates
-are verified on their texts; equal lines are one node from the start. Of each component the
+line against one centre of its tokens, then all that are still in different components and whose
+signatures agree enough. Candidates are verified on their texts; equal lines are one node from the start. Of each component the
 first line in order of (doc_id, line number) stays. Shorter lines always stay.
 
 With 16 bands of 5 slots a pair at the threshold of 0.75 is found with probability 0.987,
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, mix64, table, text_blocks
-from .pairs import FOUND, PACKED, across, gather, packed
+from .common import Filter, components, durable, mix64, table, text_blocks
+from .pairs import FOUND, PACKED, across, gather, packed, stars
 
 SHINGLE, PERCENT, MIN_BYTES = 8, 75, 24
 BANDS, ROWS = 16, 5
 #: Band tokens in a bucket, about.
-BUCKET = 1_000_000
+BUCKET = 250_000
+#: Of two lines' 80 slots, kept to 4 bits, so many agree at least; fewer would be over 3 standard deviations under the threshold.
+AGREE, LONG = 49, 160
 _SLOTS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
 #: Slot i borrows from _BORROW[t, i] at attempt t.
@@ -125,19 +127,36 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(rows, PACKED)
 
 
-def _verify(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines reach the threshold."""
-    need = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
-    at = lines.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(at.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+
+
+def _likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pairs whose signatures agree enough; short lines, whose signatures say less, always."""
+    return (_EQUAL[sig[i] ^ sig[j]].sum(1) >= AGREE) | (np.minimum(n[i], n[j]) < LONG)
 
-    def split(it):
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text and 4-bit signature of the lines in question: one pass over the documents with a bounded filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(nodes, "node"))
+
+    def rows(it):
         for batch in it:
-            for _, ts in text_blocks(batch):
-                found = list({x for t in ts for x in _line_list(t) if len(x) >= MIN_BYTES})
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([line_node(x) for x in found], np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["node", "text"])
+            for _, texts in text_blocks(batch, chars=500_000):
+                lines = list({x for t in texts for x in _line_list(t) if len(x) >= MIN_BYTES})
+                node = np.array([line_node(x) for x in lines], np.uint64)
+                at = np.flatnonzero(shared.value(node)) if len(lines) else []
+                if len(at):
+                    lines = [lines[i] for i in at]
+                    s = signature(lines).astype(np.uint8)
+                    s = s[:, ::2] & 15 | s[:, 1::2] << 4
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(lines, pa.binary()), pa.array([r.tobytes() for r in s], pa.binary())], names=["node", "text", "sig"])
+
+    made = docs.select("text").mapInArrow(rows, "node long, text binary, sig binary")
+    return durable(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    made = durable(texts.mapInArrow(split, "node long, text binary").join(need, "node", "left_semi").dropDuplicates(["node"]), "lines")
+
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines reach the threshold."""
 
     def check(it):
         for batch in it:
@@ -151,7 +170,7 @@ def _verify(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
 
-    side = lambda c, s: made.select(F.col("node").alias(c), F.col("text").alias(s))
+    side = lambda c, s: texts.select(F.col("node").alias(c), F.col("text").alias(s))
     return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -161,12 +180,14 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     total = lines.filter("node is not null").count() * BANDS
     buckets = max(16, total // BUCKET)
     found = durable(_deal(docs, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather(buckets), FOUND), "bands")
-    links = durable(_verify(docs, lines, durable(found.filter("kind = 0").select("a", "b").distinct(), "pairs")), "links")
+    posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "m")
+    weight = durable(posted.groupBy("node").agg(F.sum("m").alias("pop")), "weights")
+    texts = _texts(docs, weight.select("node"))
+    links = durable(_verify(texts, stars(posted, weight)), "links")
     comp = components(links)
-    posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n").join(comp, "node", "left")
-    posted = posted.select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(across(PERCENT), "a long, b long, n long")
-    more = durable(_verify(docs, lines, durable(met.select("a", "b").distinct(), "pairs")), "links")
+    posted = posted.join(comp, "node", "left").join(texts.select("node", "sig"), "node").select("token", "node", "n", F.coalesce("component", "node").alias("comp"), "sig")
+    met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(across(PERCENT, _likely), "a long, b long, n long")
+    more = durable(_verify(texts, durable(met.select("a", "b").distinct(), "pairs")), "links")
     if more.take(1):
         comp = components(links.unionByName(more))
     place = F.struct("doc_id", "line")

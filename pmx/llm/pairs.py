@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "bucket long, x binary, y binary, z binary"
-FOUND = "kind int, a long, b long, n long"
+FOUND = "kind int, a long, b long, n long, m long"
 
 
 def packed(b: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
@@ -29,23 +31,21 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(buckets: int):
-    """From a bucket's blobs: stars (kind 0: group, group, n = tokens shared), tokens of two groups or more (kind 1: token, group, size), members (kind 2: group, class, size)."""
+    """From a bucket's blobs: tokens of two nodes or more (kind 1: token a, node b, size n, nodes of the token m); from buckets
+    after ``buckets`` members (kind 2: y as a, x as b, size n)."""
 
-    def done(bucket: int, parts: list) -> pa.RecordBatch | None:
+    def done(bucket: int, parts: list) -> pa.RecordBatch:
         x, y, z = (np.frombuffer(b"".join(p), t) for p, t in zip(zip(*parts, strict=True), (np.uint64, np.uint64, np.int32), strict=True))
         order = np.lexsort((y, x))
         x, y, z = x[order], y[order], z[order]
         new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         x, y, z = x[new], y[new], z[new]
         if bucket >= buckets:
-            return batch_of([(2, y, x, z)])
+            return batch_of(2, y, x, z, np.zeros(len(x)))
         first, end = runs(x)
-        n = end - first
-        many = np.repeat(n > 1, n)
-        head = np.repeat(y[first], n)  # the star's centre, the smallest group of a token
-        arm = many & (y != head)
-        pair, count = np.unique(np.stack([head[arm], y[arm]]), axis=1, return_counts=True) if arm.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-        return batch_of([(0, pair[0], pair[1], count), (1, x[many], y[many], z[many])])
+        m = np.repeat(end - first, end - first)
+        many = m > 1
+        return batch_of(1, x[many], y[many], z[many], m[many])
 
     def rows(it):
         now, parts = None, []
@@ -64,26 +64,39 @@ def gather(buckets: int):
     return rows
 
 
-def batch_of(parts: list) -> pa.RecordBatch:
-    cat = lambda i, t: np.concatenate([np.asarray(p[i]) for p in parts]).astype(t, copy=False)
-    kind = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cat(1, np.uint64).view(np.int64)), pa.array(cat(2, np.uint64).view(np.int64)), pa.array(cat(3, np.int64))], names=["kind", "a", "b", "n"])
+def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], names=["kind", "a", "b", "n", "m"])
+
+
+def stars(posted: DataFrame, weight: DataFrame) -> DataFrame:
+    """(a, b, shared): each node b with one centre a, the one it shares most tokens with.
 
+    A token's centre is its node with the most popular tokens (``weight``: node, pop), so the least
+    altered of a group of near copies. A star has a pair for each node, however large.
+    """
+    centre = posted.join(weight, "node").groupBy("token").agg(F.max_by("node", F.struct("pop", "node")).alias("centre"))
+    arms = posted.join(centre, "token").filter("node != centre").groupBy("centre", "node").agg(F.count("*").alias("shared"))
+    return arms.groupBy("node").agg(F.max_by(F.struct("centre", "shared"), F.struct("shared", "centre")).alias("p")).select(F.col("p.centre").alias("a"), F.col("node").alias("b"), "p.shared")
 
-def across(percent: int):
-    """From (token, class, n, comp) sorted by token: pairs of classes in different components and of sizes that may link."""
 
-    def pairs(c, n, k):
+def across(percent: int, likely):
+    """From (token, node, n, comp, extra) sorted by token: pairs of nodes in different components, of sizes that
+    may link and that ``likely(extra, i, j, n)`` does not rule out. The number of tokens that a pair shares comes with it."""
+
+    def pairs(c, n, k, x):
         order = np.argsort(n, kind="stable")
-        c, n, k = c[order], n[order], k[order]
+        c, n, k, x = c[order], n[order], k[order], x[order]
         top = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / t may link
-        for i in range(0, len(c), 256):
-            hi = int(top[min(i + 255, len(c) - 1)])
-            rows, cols = np.arange(i, min(i + 256, len(c)))[:, None], np.arange(i, hi)[None, :]
-            ok = (cols > rows) & (cols < top[rows]) & (k[cols] != k[rows])
-            r, q = np.nonzero(ok)
-            if len(r):
-                yield c[r + i], c[q + i]
+        step = max(1, 400_000 // len(c))
+        for i in range(0, len(c) if len(np.unique(k)) > 1 else 0, step):
+            j = min(i + step, len(c))
+            rows, cols = np.arange(i, j)[:, None], np.arange(i, int(top[j - 1]))[None, :]
+            r, q = np.nonzero((cols > rows) & (cols < top[rows]) & (k[cols] != k[rows]))
+            r, q = r + i, q + i
+            ok = likely(x, r, q, n)
+            if ok.any():
+                yield c[r[ok]], c[q[ok]]
 
     def emit(out: list) -> pa.RecordBatch:
         a, b = (np.concatenate([o[j] for o in out]) for j in (0, 1))
@@ -91,16 +104,24 @@ def across(percent: int):
         pair, count = np.unique(np.stack([lo, hi]), axis=1, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(count.astype(np.int64))], names=["a", "b", "n"])
 
+    def values(col: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(col.type):
+            return col.to_numpy()
+        rows = b"".join(col.to_pylist())
+        return np.frombuffer(rows, np.uint8).reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.uint8)
+
     def rows(it):
         left, out, held = None, [], 0
         for batch in it:
-            t, c, n, k = (batch.column(i).to_numpy() for i in range(4))
+            now = [values(batch.column(i)) for i in range(5)]
+            if not batch.num_rows:
+                continue
             if left is not None:
-                t, c, n, k = (np.concatenate(v) for v in zip(left, (t, c, n, k), strict=True))
-            first, end = runs(t) if len(t) else ([], [])
-            left = tuple(v[first[-1] :] for v in (t, c, n, k)) if len(t) else None
+                now = [np.concatenate(v) for v in zip(left, now, strict=True)]
+            first, end = runs(now[0])
+            left = [v[first[-1] :] for v in now]
             for i, j in zip(first[:-1], end[:-1], strict=True):
-                for p in pairs(c[i:j], n[i:j], k[i:j]):
+                for p in pairs(*(v[i:j] for v in now[1:])):
                     out.append(p)
                     held += len(p[0])
                     if held > 2_000_000:

@@ -16,12 +16,11 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """
     both = edges.select(C("a").alias("node"), C("b").alias("other"), "weight").unionByName(edges.select(C("b").alias("node"), C("a").alias("other"), "weight"))
     loops = both.groupBy("node").agg(F.max("weight").alias("weight")).select("node", C("node").alias("other"), "weight")
-    links = both.unionByName(loops)
+    links = both.unionByName(loops).persist()  # read in every round
     labels = links.select("node").distinct().withColumn("label", C("node"))
     for i in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        top = votes.groupBy("node").agg(F.max("w").alias("w"))
-        labels = votes.join(top, ["node", "w"]).groupBy("node").agg(F.min("label").alias("label"))
+        labels = votes.groupBy("node").agg(F.min_by("label", F.struct(-C("w"), C("label"))).alias("label"))
         if i % 2:
             labels = _durable(labels)
     return labels

@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers: ingestion sources, sinks, the registry of derived datasets."""
