@@ -36,8 +36,8 @@ def d(x) -> Column:
 
 
 def rnd(x: Column, digits: int = 6) -> Column:
-    """Rounded, so that the order of a float sum does not show."""
-    return F.round(d(x), digits)
+    """Rounded, so that the order of a float sum does not show; never a negative zero."""
+    return F.round(d(x), digits) + F.lit(0.0)
 
 
 def excess(won: Column, price: Column) -> Column:

@@ -51,12 +51,12 @@ def _miscalibration(*keys):
         r = resolved(spark, sf_dir).select(*(k() for k in keys), cent_bucket(C("tp"), 10).alias("bucket"), "tp", "tw")
         names = [c for c in r.columns if c not in ("bucket", "tp", "tw")]
         b = r.groupBy(*names, "bucket").agg(F.count("*").alias("n"), F.abs(F.avg(d("tw")) - F.avg(d("tp")) / F.lit(100.0)).alias("e")).filter("n >= 20")
-        return b.groupBy(*names).agg(F.sum("n").alias("n"), rnd(F.sum(C("n") * C("e")) / F.sum("n")).alias("mae"))
+        return b.groupBy(*names).agg(F.sum("n").alias("n"), rnd(F.sum(C("n") * C("e")) / F.sum("n"), 5).alias("mae"))
 
     return plan
 
 
-_MIS = """SELECT {0}, CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(n * e) / SUM(n), 6) AS mae FROM (SELECT {1}, CAST(FLOOR(tp / 10.0) * 10 AS INTEGER) AS bucket, COUNT(*) AS n, ABS(AVG(CAST(tw AS DOUBLE)) - AVG(tp) / 100.0) AS e FROM rt GROUP BY ALL HAVING COUNT(*) >= 20) GROUP BY ALL"""
+_MIS = """SELECT {0}, CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(n * e) / SUM(n), 5) AS mae FROM (SELECT {1}, CAST(FLOOR(tp / 10.0) * 10 AS INTEGER) AS bucket, COUNT(*) AS n, ABS(AVG(CAST(tw AS DOUBLE)) - AVG(tp) / 100.0) AS e FROM rt GROUP BY ALL HAVING COUNT(*) >= 20) GROUP BY ALL"""
 register("category_miscalibration", oracle(_MIS.format("grp", f"{GROUP} AS grp")))(_miscalibration(lambda: group_of().alias("grp")))
 register("category_calibration_yearly", oracle(_MIS.format("year, grp", f"CAST(EXTRACT(YEAR FROM created_time) AS INTEGER) AS year, {GROUP} AS grp")))(_miscalibration(lambda: F.year("created_time").alias("year"), lambda: group_of().alias("grp")))
 

@@ -44,7 +44,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
         f *= c * dd
         if abs(1 - c * dd) < 1e-12:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:

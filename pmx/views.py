@@ -6,6 +6,8 @@ fills ('0' is the cash asset).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +111,6 @@ CTES = {
 
 def oracle(sql: str, recursive: bool = False, **more: str) -> str:
     """``sql`` with the CTEs it needs in front; ``more`` are further CTEs, in order."""
-    import re
-
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -123,4 +123,19 @@ def oracle(sql: str, recursive: bool = False, **more: str) -> str:
     for text in (*more.values(), sql):
         add(text)
     ctes = [f"{n} AS ({CTES[n]})" for n in need] + [f"{n} AS ({b})" for n, b in more.items()]
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + sql if ctes else sql
+    return no_negative_zero(f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + sql if ctes else sql)
+
+
+def no_negative_zero(sql: str) -> str:
+    """ROUND(...) + 0, so that a rounded -0.0000001 is 0.0 and not -0.0, as it is in Spark."""
+    out, at = "", 0
+    for m in re.finditer(r"\bROUND\(", sql):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += sql[at : m.start()] + "(ROUND(" + no_negative_zero(sql[m.end() : end - 1]) + ") + CAST(0 AS DOUBLE))"
+        at = end
+    return out + sql[at:]
