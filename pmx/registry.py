@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The modules of pmx.plans, in order.
-PLANS = ["prices", "periods", "enrichment", "addresses", "categories", "backtest", "surfaces", "semantic", "learning", "sources"]
+PLANS = ["prices", "periods", "enrichment", "addresses", "categories", "backtest", "surfaces", "semantic", "learning", "selections", "sources"]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
