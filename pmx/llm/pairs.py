@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PACKED = "bucket long, x binary, y binary, z binary"
-FOUND = "kind int, a long, b long, n long, m long"
+FOUND = "kind int, a long, b long, n long, m long, s binary"
+
 
 
 def packed(b: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
@@ -32,16 +33,18 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(buckets: int):
     """From a bucket's blobs: tokens of two nodes or more (kind 1: token a, node b, size n, nodes of the token m); from buckets
-    after ``buckets`` members (kind 2: y as a, x as b, size n)."""
+    after ``buckets`` members (kind 2: the first of y as a, x as b, size n, the rest of y as parity map s), one for each x."""
 
     def done(bucket: int, parts: list) -> pa.RecordBatch:
         x, y, z = (np.frombuffer(b"".join(p), t) for p, t in zip(zip(*parts, strict=True), (np.uint64, np.uint64, np.int32), strict=True))
+        if bucket >= buckets:
+            y = y.reshape(len(x), -1)
+            _, one = np.unique(x, return_index=True)
+            return batch_of(2, y[one, 0], x[one], z[one], np.zeros(len(one)), np.ascontiguousarray(y[one, 1:]))
         order = np.lexsort((y, x))
         x, y, z = x[order], y[order], z[order]
         new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         x, y, z = x[new], y[new], z[new]
-        if bucket >= buckets:
-            return batch_of(2, y, x, z, np.zeros(len(x)))
         first, end = runs(x)
         m = np.repeat(end - first, end - first)
         many = m > 1
@@ -64,9 +67,20 @@ def gather(buckets: int):
     return rows
 
 
-def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+def batch_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, s: np.ndarray | None = None) -> pa.RecordBatch:
+    maps = pa.nulls(len(a), pa.binary()) if s is None else pa.array([r.tobytes() for r in s], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], names=["kind", "a", "b", "n", "m"])
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), maps], names=["kind", "a", "b", "n", "m", "s"])
+
+
+def parity_map(s: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each of so many slots: whether an odd number of the set's hashes fall into it.
+
+    Two maps differ in no more bits than the sets have elements not in common, which bounds
+    their overlap from above.
+    """
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
 def stars(posted: DataFrame, weight: DataFrame) -> DataFrame:
@@ -80,21 +94,33 @@ def stars(posted: DataFrame, weight: DataFrame) -> DataFrame:
     return arms.groupBy("node").agg(F.max_by(F.struct("centre", "shared"), F.struct("shared", "centre")).alias("p")).select(F.col("p.centre").alias("a"), F.col("node").alias("b"), "p.shared")
 
 
-def across(percent: int, likely):
-    """From (token, node, n, comp, extra) sorted by token: pairs of nodes in different components, of sizes that
-    may link and that ``likely(extra, i, j, n)`` does not rule out. The number of tokens that a pair shares comes with it."""
+def across(percent: int):
+    """From (token, node, n, comp, most, at, s) sorted by token: pairs of nodes in different components that may link,
+    with the number of tokens they were found by. Ruled out are pairs whose sizes are too different and whose parity
+    maps differ too much. Prefix tokens rule out more: a pair where one has too few tokens that others
+    share (``most``), and a token so late in a prefix (``at``) that the pair must share an earlier one too."""
 
-    def pairs(c, n, k, x):
+    def pairs(c, n, k, most, at, s):
+        if len(np.unique(k)) == 1:
+            return
         order = np.argsort(n, kind="stable")
-        c, n, k, x = c[order], n[order], k[order], x[order]
+        c, n, k, most, at, s = (v[order] for v in (c, n, k, most, at, s))
+        s = np.ascontiguousarray(s).view(np.uint64)
         top = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / t may link
-        step = max(1, 400_000 // len(c))
-        for i in range(0, len(c) if len(np.unique(k)) > 1 else 0, step):
+        size = n - -(-percent * n // 100) + 1  # of a prefix
+        after = n - size
+        step = max(1, 200_000 // len(c))
+        for i in range(0, len(c), step):
             j = min(i + step, len(c))
             rows, cols = np.arange(i, j)[:, None], np.arange(i, int(top[j - 1]))[None, :]
             r, q = np.nonzero((cols > rows) & (cols < top[rows]) & (k[cols] != k[rows]))
             r, q = r + i, q + i
-            ok = likely(x, r, q, n)
+            need = -(-percent * (n[r] + n[q]) // (100 + percent))  # the overlap of two sets that link
+            least = need - np.maximum(after[r], after[q])  # prefix tokens that they share, if they link
+            ok = (np.minimum(most[r], most[q]) >= least) & (np.maximum(at[r] - size[r], at[q] - size[q]) <= -np.maximum(least, 1))
+            r, q, need = r[ok], q[ok], need[ok]
+            apart = np.bitwise_count(s[r] ^ s[q]).sum(1, dtype=np.int64)
+            ok = 2 * need + apart <= n[r] + n[q]
             if ok.any():
                 yield c[r[ok]], c[q[ok]]
 
@@ -107,15 +133,14 @@ def across(percent: int, likely):
     def values(col: pa.Array) -> np.ndarray:
         if pa.types.is_integer(col.type):
             return col.to_numpy()
-        rows = b"".join(col.to_pylist())
-        return np.frombuffer(rows, np.uint8).reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.uint8)
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
 
     def rows(it):
         left, out, held = None, [], 0
         for batch in it:
-            now = [values(batch.column(i)) for i in range(5)]
             if not batch.num_rows:
                 continue
+            now = [values(batch.column(i)) for i in range(7)]
             if left is not None:
                 now = [np.concatenate(v) for v in zip(left, now, strict=True)]
             first, end = runs(now[0])
