@@ -4,7 +4,7 @@ A line (trimmed of white space) of ``MIN_BYTES`` or more is a set of ``SHINGLE``
 of each shingle fills a signature of one-permutation MinHash (empty slots borrow from
 others), bands of ``ROWS`` slots give tokens, and lines that share a token are candidates: first each
 line against one centre of its tokens, then all that are still in different components and whose
-signatures agree enough. Candidates are verified on their texts; equal lines are one node from the start. Of each component the
+parity maps do not rule a link out. Candidates are verified on their texts; equal lines are one node from the start. Of each component the
 first line in order of (doc_id, line number) stays. Shorter lines always stay.
 
 With 16 bands of 5 slots a pair at the threshold of 0.75 is found with probability 0.987,
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Filter, components, durable, mix64, table, text_blocks
-from .pairs import FOUND, PACKED, across, gather, packed, stars
+from .pairs import FOUND, PACKED, across, gather, packed, parity_map, stars
 
 SHINGLE, PERCENT, MIN_BYTES = 8, 75, 24
 BANDS, ROWS = 16, 5
 #: Band tokens in a bucket, about.
 BUCKET = 250_000
-#: Of two lines' 80 slots, kept to 4 bits, so many agree at least; fewer would be over 3 standard deviations under the threshold.
-AGREE, LONG = 49, 160
+#: Bits of a line's parity map.
+PARITY = 2048
 _SLOTS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
 #: Slot i borrows from _BORROW[t, i] at attempt t.
@@ -56,6 +56,11 @@ def shingle_codes(data: bytes) -> np.ndarray:
     return np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, 0, (1,)).copy()
 
 
+def line_set(line: bytes) -> np.ndarray:
+    """The distinct shingles of a line."""
+    return np.unique(shingle_codes(line))
+
+
 def signature(lines: list[bytes]) -> np.ndarray:
     """(line, slot) minima of one-permutation MinHash over lines of SHINGLE bytes or more."""
     size = np.array([len(x) for x in lines], np.int64)
@@ -121,22 +126,13 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 token = band_tokens(signature(lines)).ravel()
                 node = np.repeat(np.array([line_node(x) for x in lines], np.uint64), BANDS)
-                size = np.repeat(np.array([len(x) - SHINGLE + 1 for x in lines], np.int32), BANDS)
-                yield packed((token % np.uint64(buckets)).astype(np.int64), token, node, size)
+                yield packed((token % np.uint64(buckets)).astype(np.int64), token, node, np.zeros(len(node), np.int32))
 
     return docs.select("text").mapInArrow(rows, PACKED)
 
 
-_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
-
-
-def _likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Pairs whose signatures agree enough; short lines, whose signatures say less, always."""
-    return (_EQUAL[sig[i] ^ sig[j]].sum(1) >= AGREE) | (np.minimum(n[i], n[j]) < LONG)
-
-
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text and 4-bit signature of the lines in question: one pass over the documents with a bounded filter."""
+    """node, text, set size and parity map of the lines in question (and a few more): one pass over the documents with a bounded filter."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(nodes, "node"))
 
     def rows(it):
@@ -147,12 +143,15 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(shared.value(node)) if len(lines) else []
                 if len(at):
                     lines = [lines[i] for i in at]
-                    s = signature(lines).astype(np.uint8)
-                    s = s[:, ::2] & 15 | s[:, 1::2] << 4
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(lines, pa.binary()), pa.array([r.tobytes() for r in s], pa.binary())], names=["node", "text", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(lines, pa.binary())], names=["node", "text"])
+
+    def maps(it):
+        for batch in it:
+            sets = [line_set(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array([len(x) for x in sets], np.int64)), pa.array([parity_map(mix64(x), PARITY).tobytes() for x in sets], pa.binary())], names=["node", "text", "n", "s"])
 
-    made = docs.select("text").mapInArrow(rows, "node long, text binary, sig binary")
-    return durable(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    found = docs.select("text").mapInArrow(rows, "node long, text binary").dropDuplicates(["node"])
+    return durable(found.mapInArrow(maps, "node long, text binary, n long, s binary"), "texts")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -163,7 +162,7 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             a, b, x, y = (batch.column(i) for i in range(4))
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                p, q = np.unique(shingle_codes(x[i].as_py())), np.unique(shingle_codes(y[i].as_py()))
+                p, q = line_set(x[i].as_py()), line_set(y[i].as_py())
                 m = np.concatenate([p, q])
                 m.sort()
                 both = int((m[1:] == m[:-1]).sum())
@@ -180,13 +179,13 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     total = lines.filter("node is not null").count() * BANDS
     buckets = max(16, total // BUCKET)
     found = durable(_deal(docs, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather(buckets), FOUND), "bands")
-    posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "m")
+    posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
     weight = durable(posted.groupBy("node").agg(F.sum("m").alias("pop")), "weights")
     texts = _texts(docs, weight.select("node"))
     links = durable(_verify(texts, stars(posted, weight)), "links")
     comp = components(links)
-    posted = posted.join(comp, "node", "left").join(texts.select("node", "sig"), "node").select("token", "node", "n", F.coalesce("component", "node").alias("comp"), "sig")
-    met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(across(PERCENT, _likely), "a long, b long, n long")
+    posted = posted.join(comp, "node", "left").join(texts.select("node", "n", "s"), "node").select("token", "node", "n", F.coalesce("component", "node").alias("comp"), F.lit(1 << 40).alias("most"), F.lit(-(1 << 40)).alias("at"), "s")
+    met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(across(PERCENT), "a long, b long, n long")
     more = durable(_verify(texts, durable(met.select("a", "b").distinct(), "pairs")), "links")
     if more.take(1):
         comp = components(links.unionByName(more))
