@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pmx.deploy import shipped
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: The modules of pmx.plans, in order.
 PLANS = ["prices", "periods", "enrichment", "addresses", "categories", "backtest", "surfaces", "semantic", "learning", "selections", "sources"]
@@ -30,7 +32,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     _load()
-    return dict(_queries)
+    return {name: shipped(f) for name, f in _queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
