@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pmx.deploy import ship
 from pmx.llm.common import durable, table
 from pmx.llm.op1_quality_rules import keep_documents, train
 from pmx.llm.op4_decontamination import decontaminate
@@ -44,14 +45,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("ngram_jaccard", near_duplicates),
-          ("decontamination", decontamination), ("packing", packing)]
+def _sent(stage):
+    """The stage, with the package sent to the executors first."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("quality_rules", _sent(quality_rules)), ("line_dedup", _sent(dedup_lines)), ("ngram_jaccard", _sent(near_duplicates)),
+          ("decontamination", _sent(decontamination)), ("packing", _sent(packing))]
 #: Trees, MinHash, latent vectors and tokenizers have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -14,7 +14,9 @@ def _all():
 def queries() -> dict:
     import corpus_pipeline
 
-    return {m.NAME: m.query for m in _all()} | {"pipeline": corpus_pipeline.run}
+    from pmx.deploy import shipped
+
+    return {m.NAME: shipped(m.query) for m in _all()} | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
