@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -10,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the operator contracts: ``[\x20\x09-\x0D]``.
-WS = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in blocks of about this many characters inside a Python worker.
 BLOCK_CHARS = 2_000_000
 
@@ -75,6 +73,16 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", chars: int = BLOCK_
             start, size, texts = i + 1, 0, []
     if texts:
         yield start, texts
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and what one stage freed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not in every C library
+        return
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -83,14 +91,6 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.withColumn("_h", h).orderBy("_h", key).limit(rows).drop("_h")
 
 
-def with_text(docs: DataFrame, ids: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` for ``ids``, whose row count is bounded by ``bound`` (a broadcast)."""
-    return docs.select(key, "text").join(F.broadcast(ids.limit(bound)), key)
-
-
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place on a copy)."""
     x = x.astype(np.uint64, copy=True)
