@@ -13,9 +13,10 @@ similarity of ``PERCENT`` or more. The join is exact (sets are of 64-bit hashes)
    best star, filtered by the overlap bound, is expanded to members and verified, which joins large
    groups of near copies at a cost linear in their size.
 4. Then every pair of members that share a prefix token and are not connected yet is
-   filtered by size, by the overlap bound (what is left of a set after its prefix, and the
-   tokens shared) and by parity maps of the sets, which bound the overlap too, and verified.
-   None of these filters loses a link.
+   filtered by size, by the place of the token (one so late that a pair which links must
+   share an earlier one) and by parity maps of the sets, which bound the overlap, and all
+   that are left are verified. None of these filters loses a link; those of step 3 may,
+   for a star counts only its own tokens, and leave the pair to this step.
 
 A link inside a component changes nothing, so no other pair is expanded. Every text
 is tokenised anew where needed; sets are not stored.
@@ -236,10 +237,8 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a group of several classes is a token of its own, so that its members meet
     own = where.join(groups.filter("size > 1").select("gk"), "gk").select(F.xxhash64("gk", F.lit("group")).alias("token"), "ck", "n", "comp", F.lit(1 << 40).alias("most"), F.lit(-(1 << 40)).alias("at"), "s")
     met = posted.unionByName(own).repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long, n long")
-    n = lambda c, s: classes.select(F.col("ck").alias(c), F.col("n_shingles").alias(s))
-    same = lambda c: where.groupBy("ck").agg(F.first("gk").alias("gk")).select(F.col("ck").alias(c), F.col("gk").alias(f"g{c}"))
-    rest = met.groupBy("a", "b").agg(F.sum("n").alias("shared")).join(n("a", "n1"), "a").join(n("b", "n2"), "b").join(same("a"), "a").join(same("b"), "b")
-    rest = rest.filter((F.col("ga") == F.col("gb")) | _may_link(F.col("n1"), F.col("n2"), F.col("shared"), percent)).select("a", "b")
+    # the tokens that a pair was found by are not all it shares, so their number rules nothing out
+    rest = met.select("a", "b").distinct()
     more = durable(_verify(docs, plain, durable(rest, "pairs"), percent), "links")
     comp = components(links.unionByName(more)) if more.take(1) else comp
 

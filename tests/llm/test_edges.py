@@ -305,6 +305,36 @@ def test_ngram_jaccard_against_brute_force(spark):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_ngram_jaccard_links_of_the_second_pass(spark):
+    """Chains of short texts, each a word away from the one before, so that most links are not along a star."""
+    from pmx.llm.op10_ngram_jaccard import ngram_jaccard
+
+    r = random.Random(12)
+    rows = []
+    for size in (24, 44, 104):
+        for _ in range(30):
+            words = [f"{len(rows)}x{k}" for k in range(size)]
+            for k in range(8):
+                rows.append((len(rows), " ".join(words)))
+                for j in range(max(1, size // 44)):
+                    words[r.randrange(size)] = f"{len(rows)}y{k}z{j}"
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a // 8 * 8, a):  # families share no word
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {x["doc_id"]: x["component_id"] for x in ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_line_dedup(spark, docs, empty):
     from pmx.llm.op9_line_dedup import line_dedup, line_verdicts
 
