@@ -177,39 +177,56 @@ def bt_distribution(spark, sf_dir):
     return s.select("n", "mean", "sd", rnd(C("s"), 5).alias("skew"), rnd(C("k"), 5).alias("kurtosis"), rnd(jb, 2).alias("jarque_bera"), "p1", "p50", "p99")
 
 
-def monte_carlo(r: DataFrame, paths: int = 1000, trades: int = 2000, seed: int = 42) -> DataFrame:
-    """Bootstrap paths: path, total, mean, max_drawdown, longest_loss.
+PATHS, MOST_TRADES = 10_000, 100_000
+_PATH = {"path": pa.int64(), "total": pa.float64(), "mean": pa.float64(), "max_drawdown": pa.float64(), "longest_loss": pa.int64(), "sharpe": pa.float64(), "win_rate": pa.float64()}
 
-    Returns take few values (a price and an outcome each), so their counts are drawn from, not the rows;
-    each path has a generator of its own, so results do not depend on the partitions.
+
+def monte_carlo(r: DataFrame, paths: int = PATHS, trades: int | None = None, seed: int = 42) -> DataFrame:
+    """Bootstrap paths: path, total, mean, max_drawdown, longest_loss, sharpe, win_rate.
+
+    A path draws as many trades as there are, MOST_TRADES at most, unless ``trades`` says otherwise. Total and drawdown
+    are of net * contracts, the rest of net, as in the reference; without ``contracts`` a trade is of one, without
+    ``won`` it is won if net is above 0. Trades take few values (price, outcome and contracts), so their counts
+    are drawn from, not the rows; each path has a generator of its own, so results do not depend on the partitions.
     """
     spark = r.sparkSession
-    counts = sorted((float(x["net"]), x["n"]) for x in r.groupBy(rnd(C("net")).alias("net")).agg(F.count("*").alias("n")).collect())  # two rows a price
-    value, share = np.array([v for v, _ in counts]), np.cumsum([n for _, n in counts], dtype=float)
-    shared = spark.sparkContext.broadcast((value, share / share[-1] if len(share) else share))
+    size = d("contracts") if "contracts" in r.columns else F.lit(1.0)
+    won = d(C("won").cast("int")) if "won" in r.columns else F.when(C("net") > 0, 1.0).otherwise(0.0)
+    kinds = r.groupBy(rnd(C("net")).alias("net"), size.alias("contracts"), won.alias("won")).agg(F.count("*").alias("n"))
+    counts = np.array(sorted((float(x["net"]), x["contracts"], x["won"], x["n"]) for x in kinds.collect())).reshape(-1, 4)
+    upto = np.cumsum(counts[:, 3].astype(np.int64))
+    n = int(upto[-1]) if len(upto) else 0
+    length = trades or min(n, MOST_TRADES)
+    shared = spark.sparkContext.broadcast((counts[:, 0].copy(), counts[:, 0] * counts[:, 1], counts[:, 2].copy(), upto))
+
+    def one(path: int) -> tuple:
+        net, pnl, win, ends = shared.value
+        if not n:
+            return path, 0.0, 0.0, 0.0, 0, 0.0, 0.0
+        at = np.searchsorted(ends, np.random.default_rng([seed, path]).integers(0, n, length), side="right")
+        x, cum = net[at], np.cumsum(pnl[at])
+        loss = np.flatnonzero(np.diff(np.concatenate([[0], (x < 0).astype(int), [0]])))
+        sd = float(x.std())
+        return (path, float(cum[-1]), float(x.mean()), float((cum - np.maximum.accumulate(cum)).min()), int((loss[1::2] - loss[::2]).max()) if len(loss) else 0,
+                float(x.mean()) / sd if sd > 0 else 0.0, float(win[at].mean()))
 
     def walk(it):
-        v, s = shared.value
         for batch in it:
-            out = []
-            for path in batch.column(0).to_pylist():
-                x = v[np.searchsorted(s, np.random.default_rng([seed, path]).random(trades), side="right")] if len(v) else np.zeros(1)
-                cum = np.cumsum(x)
-                loss = np.flatnonzero(np.diff(np.concatenate([[0], (x < 0).astype(int), [0]])))
-                out.append((path, float(cum[-1]), float(x.mean()), float((cum - np.maximum.accumulate(cum)).min()), int((loss[1::2] - loss[::2]).max()) if len(loss) else 0))
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "total", "mean", "max_drawdown", "longest_loss"), o, strict=True)) for o in out],
-                                             schema=pa.schema([("path", pa.int64()), ("total", pa.float64()), ("mean", pa.float64()), ("max_drawdown", pa.float64()), ("longest_loss", pa.int64())]))
+            out = [one(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(_PATH, o, strict=True)) for o in out], schema=pa.schema(_PATH))
 
-    return spark.range(paths).mapInArrow(walk, "path long, total double, mean double, max_drawdown double, longest_loss long")
+    return spark.range(paths).mapInArrow(walk, "path long, total double, mean double, max_drawdown double, longest_loss long, sharpe double, win_rate double")
 
 
 @register("bt_monte_carlo")
 def bt_monte_carlo(spark, sf_dir):
-    """Percentiles of the bootstrap; drawdowns are labelled by severity (p95 is the 5th percentile)."""
+    """The reference's summary of the bootstrap; drawdowns are labelled by severity (p95 is the 5th percentile)."""
     m = monte_carlo(run(fade_longshot(20), spark, sf_dir))
     q = lambda c, p: F.percentile(c, F.lit(p))
-    return m.agg(F.count("*").alias("paths"), *[q("total", p).alias(f"total_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)], *[q("max_drawdown", 1 - p).alias(f"drawdown_p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
-                 F.stddev_pop("mean").alias("mean_sd"), F.median("mean").alias("mean_median"))
+    at = lambda c, *ps: [q(c, p).alias(f"{c}_p{round(p * 100)}") for p in ps]
+    return m.agg(F.count("*").alias("paths"), *at("total", 0.05, 0.25, 0.5, 0.75, 0.95), F.avg("total").alias("total_mean"), F.stddev_pop("total").alias("total_sd"),
+                 *[q("max_drawdown", 1 - p).alias(f"drawdown_p{round(p * 100)}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)], F.stddev_pop("mean").alias("mean_sd"), F.median("mean").alias("mean_median"),
+                 *at("sharpe", 0.05, 0.5, 0.95), F.median("win_rate").alias("win_rate_median"), F.stddev_pop("win_rate").alias("win_rate_sd"))
 
 
 @register("bt_kelly_adjusted")

@@ -81,6 +81,23 @@ def test_monte_carlo_does_not_depend_on_partitions(spark):
     assert a == b and all(x[3] <= 0 for x in a)
 
 
+def test_monte_carlo_draws_trades_with_their_contracts(spark):
+    """Paths are as long as the table (100,000 trades at most), and weigh trades by contracts."""
+    kinds = [(10.0, 3, True, 500), (-90.0, 1, False, 60), (5.0, 40, True, 200)]
+    r = spark.createDataFrame([k[:3] for k in kinds for _ in range(k[3])], "net double, contracts long, won boolean")
+    x = np.array([k[:3] for k in kinds for _ in range(k[3])], float)
+    got = backtest.monte_carlo(r, 300).toPandas()
+    n, pnl = len(x), x[:, 0] * x[:, 1]
+    assert abs(got.total.mean() - n * pnl.mean()) < 5 * n**0.5 * pnl.std() / 300**0.5
+    assert got.total.std() == pytest.approx(n**0.5 * pnl.std(), rel=0.2)
+    assert got["mean"].std() == pytest.approx(x[:, 0].std() / n**0.5, rel=0.2)
+    assert got.win_rate.mean() == pytest.approx(x[:, 2].mean(), abs=0.005) and got.sharpe.mean() == pytest.approx(x[:, 0].mean() / x[:, 0].std(), rel=0.1)
+    assert backtest.PATHS == 10_000 and backtest.MOST_TRADES == 100_000
+    one = backtest.monte_carlo(spark.range(100_500).select(F.lit(1.0).alias("net"), F.lit(2).alias("contracts"), F.lit(True).alias("won")), 1).first()
+    assert one["total"] == 200_000 and one["win_rate"] == 1 and one["sharpe"] == 0
+    assert backtest.monte_carlo(r.limit(0), 2).count() == 2
+
+
 def test_tokens(spark):
     m = spark.createDataFrame([("m1", '["t1","t2"]', '["1","0"]', True), ("m2", '["u1","u2"]', '["0.6","0.4"]', True), ("m3", '["v1","v2"]', "[]", True), ("m4", '["w1","w2"]', "bad", True), ("m5", '["x1"]', '["1"]', False)],
                               "id string, clob_token_ids string, outcome_prices string, closed boolean")
