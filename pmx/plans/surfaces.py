@@ -149,13 +149,13 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("t5_lead_lag")
 def t5_lead_lag(spark, sf_dir):
-    """Peak lag, its correlation and the Granger test in the peak's direction; a group is one pair's hours."""
+    """Peak lag, its correlation and the Granger test (lags 1 to 12) in the peak's direction; a group is one pair's hours."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("h")
         a, b = g["ra"].to_numpy(), g["rb"].to_numpy()
         lag, c = cross_correlation_peak(a, b)
-        p, at = granger(a, b, 4) if lag >= 0 else granger(b, a, 4)
+        p, at = granger(a, b) if lag >= 0 else granger(b, a)
         return pd.DataFrame({"a": [g["a"].iloc[0]], "b": [g["b"].iloc[0]], "hours": [len(g)], "peak_lag": [lag], "peak": [c], "granger_p": [p], "granger_lag": [at]})
 
     return aligned(spark, sf_dir).groupBy("a", "b").applyInPandas(one, "a string, b string, hours long, peak_lag long, peak double, granger_p double, granger_lag long")

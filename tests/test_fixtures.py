@@ -158,6 +158,20 @@ def test_statistics():
     assert stats.granger(lead, follow, 4)[0] < 1e-6 < stats.granger(follow, lead, 4)[0]
 
 
+def test_lead_lag_finds_a_lead_of_more_than_four_bars(spark, monkeypatch):
+    from pmx.plans import surfaces
+
+    r = np.random.default_rng(3)
+    a, b = r.standard_normal(400), r.standard_normal(400)
+    for t in range(8, 400):  # b is led by a by 8; a follows b by 6, which is the peak and sets the direction
+        b[t] += 0.5 * a[t - 8]
+        a[t] = b[t - 6] + 0.3 * a[t]
+    rows = [("a", "b", h, float(x), float(y)) for h, (x, y) in enumerate(zip(a, b, strict=True))]
+    monkeypatch.setattr(surfaces, "aligned", lambda *_: spark.createDataFrame(rows, "a string, b string, h long, ra double, rb double"))
+    got = surfaces.t5_lead_lag(spark, "").first()
+    assert got["peak_lag"] == 6 and got["granger_lag"] >= 8 and got["granger_p"] < 1e-6
+
+
 def test_tails(spark):
     from pmx.stats import normal_two_sided, student_two_sided
 
