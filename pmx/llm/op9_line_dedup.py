@@ -1,11 +1,12 @@
 """Fuzzy line dedup: MinHash with banding, exact Jaccard, distributed union-find.
 
-A line (trimmed of white space) of ``MIN_BYTES`` or more is a set of ``SHINGLE``-byte shingles. One hash
+A line (trimmed of white space) of ``SHINGLE`` bytes or more is a set of ``SHINGLE``-byte shingles. One hash
 of each shingle fills a signature of one-permutation MinHash (empty slots borrow from
 others), bands of ``ROWS`` slots give tokens, and lines that share a token are candidates: first each
 line against one centre of its tokens, then all that are still in different components and whose
 parity maps do not rule a link out. Candidates are verified on their texts; equal lines are one node from the start. Of each component the
-first line in order of (doc_id, line number) stays. Shorter lines always stay.
+first line in order of (doc_id, line number) stays. Shorter lines have no set, and only equal ones are
+one node; empty lines always stay. ``line_verdicts`` alone leaves lines under ``MIN_BYTES`` out unless told otherwise.
 
 With 16 bands of 5 slots a pair at the threshold of 0.75 is found with probability 0.987,
 at 0.85 with 0.9999.
@@ -84,6 +85,7 @@ def signature(lines: list[bytes]) -> np.ndarray:
         hit = got != _NONE
         full[row[hit], col[hit]] = got[hit] + np.uint32(t + 1)
         row, col = row[~hit], col[~hit]
+    full[row, col] = out.min(1)[row] + np.uint32(len(_BORROW) + 1)  # of very short lines, whose few slots are not met
     return full
 
 
@@ -96,8 +98,8 @@ def band_tokens(sig: np.ndarray) -> np.ndarray:
     return t
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number), node, n_chars of every line; node is null for short lines."""
+def line_table(docs: DataFrame, shortest: int = MIN_BYTES) -> DataFrame:
+    """doc_id, line (number), node, n_chars of every line; node is null for lines under ``shortest`` bytes."""
     d = docs.select("doc_id", "text")
 
     def rows(it):
@@ -108,7 +110,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                     lines = _line_list(t)
                     row += [at + i] * len(lines)
                     number += range(len(lines))
-                    node += [line_node(x) if len(x) >= MIN_BYTES else None for x in lines]
+                    node += [line_node(x) if len(x) >= shortest else None for x in lines]
                     chars += map(len, t.split("\n"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(node, pa.uint64()).view(pa.int64()), pa.array(chars, pa.int32())],
@@ -117,11 +119,11 @@ def line_table(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(rows, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, line int, node long, n_chars int")
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, shortest: int) -> DataFrame:
     def rows(it):
         for batch in it:
             for _, texts in text_blocks(batch, chars=500_000):
-                lines = list({x for t in texts for x in _line_list(t) if len(x) >= MIN_BYTES})
+                lines = list({x for t in texts for x in _line_list(t) if len(x) >= shortest})
                 if not lines:
                     continue
                 token = band_tokens(signature(lines)).ravel()
@@ -131,14 +133,14 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(rows, PACKED)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, shortest: int) -> DataFrame:
     """node, text, set size and parity map of the lines in question (and a few more): one pass over the documents with a bounded filter."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(nodes, "node"))
 
     def rows(it):
         for batch in it:
             for _, texts in text_blocks(batch, chars=500_000):
-                lines = list({x for t in texts for x in _line_list(t) if len(x) >= MIN_BYTES})
+                lines = list({x for t in texts for x in _line_list(t) if len(x) >= shortest})
                 node = np.array([line_node(x) for x in lines], np.uint64)
                 at = np.flatnonzero(shared.value(node)) if len(lines) else []
                 if len(at):
@@ -173,15 +175,16 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, line, n_chars, removed for every line."""
-    lines = durable(line_table(docs), "lines")
+def line_verdicts(docs: DataFrame, shortest: int = MIN_BYTES) -> DataFrame:
+    """doc_id, line, n_chars, removed for every line; lines under ``shortest`` bytes take no part."""
+    lines = durable(line_table(docs, shortest), "lines")
+    banded = max(shortest, SHINGLE)
     total = lines.filter("node is not null").count() * BANDS
     buckets = max(16, total // BUCKET)
-    found = durable(_deal(docs, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather(buckets), FOUND), "bands")
+    found = durable(_deal(docs, buckets, banded).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather(buckets), FOUND), "bands")
     posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
     weight = durable(posted.groupBy("node").agg(F.sum("m").alias("pop")), "weights")
-    texts = _texts(docs, weight.select("node"))
+    texts = _texts(docs, weight.select("node"), banded)
     links = durable(_verify(texts, stars(posted, weight)), "links")
     comp = components(links)
     posted = posted.join(comp, "node", "left").join(texts.select("node", "n", "s"), "node").select("token", "node", "n", F.coalesce("component", "node").alias("comp"), F.lit(1 << 40).alias("most"), F.lit(-(1 << 40)).alias("at"), "s")
@@ -199,7 +202,7 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out; those that lose their last line with a word are gone."""
-    gone = line_verdicts(docs).filter("removed").select(F.col("doc_id").alias("_doc"), "line").groupBy("_doc").agg(F.collect_set("line").alias("_gone"))
+    gone = line_verdicts(docs, 1).filter("removed").select(F.col("doc_id").alias("_doc"), "line").groupBy("_doc").agg(F.collect_set("line").alias("_gone"))
     rest = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"])), lambda p: p["x"]), "\n")
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left")
     changed = F.col("_gone").isNotNull()
@@ -208,7 +211,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = line_verdicts(table(spark, sf_dir, "documents"))
+    v = line_verdicts(table(spark, sf_dir, "documents"), 1)
     return v.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"),
         F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),

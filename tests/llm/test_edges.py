@@ -381,6 +381,39 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert len(want ^ got) <= 0.02 * len(want)
 
 
+def test_short_lines(spark):
+    """Equal lines of any length are one; from SHINGLE bytes up, similar ones too."""
+    from pmx.llm import op9_line_dedup as o
+
+    r = random.Random(9)
+    pool = ["".join(r.choices("abcdefghijklmnop ", k=r.randint(1, 23))).strip() or "x" for _ in range(150)] + ["你好", "Read more", "aaaaaaaa", "aaaaaaaaa"]
+    pool += [x + r.choice("qrs") for x in pool if len(x) > 10]
+    rows = [(i, "\n".join(r.choices(pool, k=6))) for i in range(60)] + [(100, "\n\n")]
+    items = [(i, k, x) for i, t in rows for k, x in enumerate(o._line_list(t)) if x]
+    sets = [set(o.shingle_codes(x).tolist()) for _, _, x in items]
+    root = list(range(len(items)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(items)):
+        for b in range(a):
+            s, t = sets[a], sets[b]
+            if items[a][2] == items[b][2] or s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {items[j][:2] for j in range(len(items)) if find(j) != j}
+    equal = {x[:2] for j, x in enumerate(items) if any(x[2] == y[2] for y in items[:j])}
+    out = o.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1)
+    got = {(x["doc_id"], x["line"]) for x in out.filter("removed").collect()}
+    assert equal <= got and len(want ^ got) <= 0.05 * len(want)
+    d = o.line_dedup(spark.createDataFrame([(1, "Read more\n\nb"), (2, "Read more\n\nc"), (3, "b")], "doc_id long, text string"))
+    assert sorted(map(tuple, d.collect())) == [(1, "Read more\n\nb"), (2, "\nc")]
+    assert (o.signature([b"abcdefgh", b"abcdefghi"]) != o._NONE).all()
+
+
 def test_decontamination(spark, docs, empty):
     from pmx.llm.op4_decontamination import decontaminate
 
