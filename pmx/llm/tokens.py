@@ -2,8 +2,9 @@
 
 Neither vocabulary merges across the white space between words, so the ids of a text are
 those of its words, and a word seen before needs no encoding again. Words new
-to a block are encoded by the library in one batch. Only single spaces and line ends are taken
-for such borders: a text with other or repeated white space goes to the library whole.
+to a block are encoded by the library: those of Latin letters with signs behind go straight to its
+model, letters and signs apart as both vocabularies part them, all others through its whole chain in one batch. Only
+single spaces and line ends are taken for borders of words: a text with other or repeated white space goes to the library whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from itertools import islice
 
 #: Words known to a worker at most; beyond, only those learnt first stay, which holds the frequent ones.
 KEEP, STAY = 1_000_000, 200_000
+#: Latin letters, composed and with one lower case each, then signs; no apostrophe, for what follows one may belong to it.
+_PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: The sign that stands for a byte in byte-level vocabularies: its own where it is printable, else the next from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SIGN_OF = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 
 class Words:
@@ -29,7 +35,7 @@ class Words:
         self.t.encode_special_tokens = True
         if self.t.get_vocab_size() >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.spaced, self.known = spaced, {}
+        self.spaced, self.known, self.model = spaced, {}, self.t.model
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -40,16 +46,36 @@ class Words:
             return text.replace("\n", " ").split(" ")
         return None if "\0" in text else ("\0" + text.replace("\n", " \n \0")).split(" ")
 
+    def _plain(self, word: str) -> bytes | None:
+        """The ids of a word that is letters, then signs; None if it is not."""
+        m = _PLAIN.fullmatch(word)
+        if not m or m[1] and not self.spaced:
+            return None
+        front, out = self.spaced and not m[1], []
+        for part in m.group(2, 3):
+            if part:
+                part = part if self.spaced else part.lower()
+                if not part.isascii():
+                    part = part.encode().decode("latin-1").translate(_SIGN_OF)
+                out += [x.id for x in self.model.tokenize("Ġ" + part if front else part)]
+                front = False
+        return array("H", out).tobytes()
+
     def _learn(self, words: list[str]) -> None:
+        known, odd = self.known, []
         if self.spaced:
-            # None marks a piece that is no plain word, so its text needs the library
-            self.known.update((w, None) for w in words if not w.strip("\0") or re.search(r"\s", w))
-            words = [w for w in words if w not in self.known]
-            self.known["\n"] = self.raw(["\n"])[0]
-            plain = [w[1:] if w[0] == "\0" else " " + w for w in words]
-        else:
-            plain = words
-        self.known.update(zip(words, self.raw(plain), strict=True))
+            known["\n"] = self.raw(["\n"])[0]
+        for w in words:
+            if self.spaced and not w.strip("\0"):
+                known[w] = None  # no word, so its text needs the library
+            elif (ids := self._plain(w)) is not None:
+                known[w] = ids
+            elif self.spaced and re.search(r"\s", w):
+                known.setdefault(w, None)  # the same, but for the line end
+            else:
+                odd.append(w)
+        plain = [w[1:] if w[0] == "\0" else " " + w for w in odd] if self.spaced else odd
+        known.update(zip(odd, self.raw(plain), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
