@@ -6,7 +6,8 @@ chosen features; the trees are flattened into numpy node arrays, and ``quality_r
 every document with them, a level of all trees at a time.
 
 Edge cases: a null or empty text has no words, fails the base rule and scores as
-a document of zeros; null ids pass through; repeated rows give repeated rows; an
+a document of zeros; a very long text is read whole, in arrays of some 60 bytes a word; a split value that ties with a
+threshold goes left; null ids pass through; repeated rows give repeated rows; an
 empty table gives an empty result; only ``doc_id`` and ``text`` are read, so other
 columns, whatever their names, change nothing. Without labels of both kinds
 there is no model and the base rule alone decides.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table, text_blocks
+from .common import labelled_sample, table, text_blocks, text_hash
 
 #: Labelled rows used for the fit, at most (picked by a hash of doc_id).
 FIT_ROWS = 6000
@@ -183,14 +184,15 @@ def _features(it):
     for batch in it:
         for at, texts in text_blocks(batch):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("quality")).slice(at, len(texts)), pa.array([statistics(t)[1] for t in texts], pa.list_(pa.float64()))],
-                names=["quality", "x"])
+                [*(batch.column(i).slice(at, len(texts)) for i in range(3)), pa.array([statistics(t)[1] for t in texts], pa.list_(pa.float64()))], names=["doc_id", "quality", "h", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
-    """Fit on ``rows`` labelled documents at most."""
-    some = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna(), "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x array<double>").toPandas()
+    """Fit on ``rows`` labelled documents at most: of an id one label (the lower) and one text (by its hash) count."""
+    some = labelled_sample(labels, rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", text_hash().alias("h"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "h", "text").mapInArrow(_features, f"doc_id {kind}, quality int, h long, x array<double>")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("r")).select("r.quality", "r.x").toPandas()
     if not len(got):
         return None
     x, y = np.array(got.x.tolist()), got.quality.to_numpy(float)

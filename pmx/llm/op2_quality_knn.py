@@ -1,13 +1,13 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-Terms are pairs of byte classes (letters keep their case and kind, every sign is
+Terms are the words (folded, hashed to ``LEXICAL`` terms), pairs of byte classes (letters keep their case and kind, every sign is
 its own class) and repetition marks. TF-IDF rows of a bounded labelled sample are
 factorised; the labelled vectors in latent space are broadcast (their number is
 the documented bound ``FIT_ROWS``), and every document takes the exact cosine with all of them in
-blocks. The nearest ``K`` vote with weights that fall with distance.
+blocks. The nearest ``K`` vote with weights that fall with distance; of equal cosines at the K-th place the first in order of doc_id vote.
 
-Edge cases: empty and null texts have no vector and score the share of label 1;
-null ids pass through; repeated rows stay; an empty table gives an empty result;
+Edge cases: empty and null texts, and those without a word, have no vector and score the share of label 1 among labelled ones of their kind, with one
+of label 0 added; a very long text is one vector, made in a pass over it; null ids pass through; repeated rows stay; an empty table gives an empty result;
 other columns are not read. Without labels every score is 0.5.
 """
 
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, split_residue, table, text_blocks
+from .common import labelled_sample, split_residue, table, text_blocks, text_hash
+from .op10_ngram_jaccard import word_hashes
 
 #: Labelled rows learnt from, at most; also the bound of the broadcast.
 FIT_ROWS = 4000
@@ -34,8 +35,10 @@ _CLASS[list(range(128, 256))] = 5
 for _i, _b in enumerate(_SIGNS):
     _CLASS[_b] = 6 + _i
 _N = 6 + len(_SIGNS)
-#: Weights, in terms, of a word equal to the previous one, of a repeated line and of a word seen before.
-TERMS = _N * _N + 3
+#: Hashed words, and their weight against the other terms.
+LEXICAL, WORD_WEIGHT = 1024, 0.25
+#: Words, pairs, then a word equal to the previous one, a repeated line and a word seen before.
+TERMS = LEXICAL + _N * _N + 3
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -48,8 +51,9 @@ def counts(texts: list[str]) -> np.ndarray:
             continue
         c = _CLASS[np.frombuffer(b, np.uint8)]
         if len(c) > 1:
-            out[i, : _N * _N] = np.bincount(c[:-1] * np.uint16(_N) + c[1:], minlength=_N * _N)
-        h = np.fromiter(map(hash, words), np.int64, len(words))
+            out[i, LEXICAL : LEXICAL + _N * _N] = np.bincount(c[:-1] * np.uint16(_N) + c[1:], minlength=_N * _N)
+        h = word_hashes(words)
+        out[i, :LEXICAL] = WORD_WEIGHT * np.bincount(word_hashes(b.lower().split()) % np.uint64(LEXICAL), minlength=LEXICAL)
         lines = [x for x in b.split(b"\n") if x.strip()]
         out[i, -3] = 4 * (h[1:] == h[:-1]).sum()
         out[i, -2] = 4 * len(words) * (len(lines) - len(set(lines))) / len(lines)
@@ -61,11 +65,14 @@ class Neighbours:
     """Labelled latent vectors with the projection that made them."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, dims: int = DIMS):
+        full = x.any(1)
+        self.empty = float(y[~full].sum() / ((~full).sum() + 1))
+        x, y = x[full], y[full]
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         a = self.weigh(x)
         _, s, vt = np.linalg.svd(a.T @ a, hermitian=True)
         self.v = vt[: min(dims, (s > 1e-6 * max(s[0], 1e-30)).sum())].T.astype(np.float32)
-        self.z, self.y, self.prior = self.unit(a @ self.v), y.astype(np.float32), float(y.mean())
+        self.z, self.y = self.unit(a @ self.v), y.astype(np.float32)
 
     @staticmethod
     def unit(z: np.ndarray) -> np.ndarray:
@@ -78,29 +85,34 @@ class Neighbours:
     def score(self, x: np.ndarray, k: int = K) -> np.ndarray:
         out = np.empty(len(x))
         k = min(k, len(self.z))
+        if not k:
+            return np.where(x.any(1), 0.5, self.empty)
         for i in range(0, len(x), BLOCK):
             part = x[i : i + BLOCK]
             cos = self.unit(self.weigh(part) @ self.v) @ self.z.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+            first = np.where(cos > last, 2, cos == last)  # of those equal to the last the first vote, however rows are dealt
+            near = np.argsort(-first, axis=1, kind="stable")[:, :k]
             sim = np.take_along_axis(cos, near, 1)
             w = np.exp(SHARP * (sim - sim.max(1, keepdims=True)))
             vote = (w * self.y[near]).sum(1) / w.sum(1)
-            out[i : i + BLOCK] = np.where(part.any(1), np.clip(vote, 0, 1), self.prior)
+            out[i : i + BLOCK] = np.where(part.any(1), np.clip(vote, 0, 1), self.empty)
         return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Neighbours | None:
-    """Learn from ``rows`` labelled documents at most."""
-    some = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna(), "doc_id", rows)
+    """Learn from ``rows`` labelled documents at most: of an id one label (the lower) and one text (by its hash) count."""
+    some = labelled_sample(labels, rows)
 
     def terms(it):
         for batch in it:
             for at, texts in text_blocks(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(at, len(texts)) for i in (0, 1)] + [pa.array([r.tobytes() for r in counts(texts)], pa.binary())], names=["doc_id", "quality", "x"])
+                    [batch.column(i).slice(at, len(texts)) for i in range(3)] + [pa.array([r.tobytes() for r in counts(texts)], pa.binary())], names=["doc_id", "quality", "h", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text").mapInArrow(terms, f"doc_id {kind}, quality int, x binary").toPandas().sort_values("doc_id")
+    made = docs.select("doc_id", text_hash().alias("h"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "h", "text").mapInArrow(terms, f"doc_id {kind}, quality int, h long, x binary")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     return Neighbours(np.stack([np.frombuffer(r, np.float32) for r in got.x]), got.quality.to_numpy())

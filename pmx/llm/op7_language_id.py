@@ -6,8 +6,8 @@ sample of its documents; the most similar centroid by cosine names the language.
 farther from it than nearly all training documents of that language is
 ``rejected`` (its nearest language is still reported in ``lang_pred``).
 
-Edge cases: null texts and texts without a letter give ``und`` and score 0; null ids
-pass through; repeated rows stay; an empty table, or one without a
+Edge cases: null texts and texts without a letter give ``und`` and score 0; equal cosines give the first name; a very long
+text is one vector, made in a pass over its bytes; null ids pass through; repeated rows stay; an empty table, or one without a
 learnable language, gives ``und`` for every row; other columns are not read.
 """
 
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, split_residue, table, text_blocks
+from .common import split_residue, table, text_blocks
 
-#: Documents learnt from, at most, in all and of one language.
-FIT_ROWS, PER_LANGUAGE = 3000, 700
+#: Documents learnt from, in all (if each language has its least) and of one language, at most and at least.
+FIT_ROWS, PER_LANGUAGE, LEAST = 3000, 700, 20
 CENTROIDS, DIMS, TEMPERATURE, REJECT_QUANTILE, REJECT_MARGIN = 4, 4096, 0.03, 0.002, 0.15
 # classes: 0 anything else, 1-26 letters of either case, 27 lead bytes, 28-59 continuation bytes by their low 5 bits
 _CLASS = np.zeros(256, np.uint32)
@@ -86,11 +86,16 @@ class Centroids:
 
 
 def train(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = PER_LANGUAGE) -> Centroids | None:
-    """Learn from (text, lang) of ``per_language`` documents of a language, about, and ``rows`` in all at most."""
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000)
-    share = (F.xxhash64(F.lit(5), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30)))
-    some = known.join(F.broadcast(sizes), "lang").filter(share * F.col("n") < per_language).select("doc_id", "lang", "text")
+    """Learn from (text, lang) of an equal share of ``rows`` for each language, ``per_language`` at most and LEAST at least, about.
+
+    A language with fewer documents than its share gives all; a document found several times counts once.
+    """
+    h = F.xxhash64("doc_id", "text", F.lit(5))
+    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null").withColumn("h", h)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.shiftrightunsigned("h", 33) / F.lit(float(1 << 31))
+    quota = F.greatest(F.least(F.lit(per_language), F.lit(rows) / F.count("*").over(Window.partitionBy())), F.lit(LEAST))
+    some = known.join(sizes.withColumn("quota", quota), "lang").filter(share * F.col("n") < F.col("quota")).dropDuplicates(["h"]).select("doc_id", "lang", "text")
 
     def vectors(it):
         for batch in it:
@@ -99,7 +104,7 @@ def train(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = PER_LANGUAG
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, len(texts)) for i in (0, 1)] + [pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = bounded_sample(some, "doc_id", rows).mapInArrow(vectors, f"doc_id {kind}, lang string, x binary").filter("x is not null").toPandas().sort_values("doc_id")
+    got = some.mapInArrow(vectors, f"doc_id {kind}, lang string, x binary").filter("x is not null").toPandas().sort_values(["doc_id", "lang"])
     return Centroids(np.stack([np.frombuffer(r, np.uint16) for r in got.x]).astype(np.float32), got.lang.to_numpy(object)) if len(got) else None
 
 
