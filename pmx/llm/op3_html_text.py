@@ -1,17 +1,20 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree (arrays of parents and counts; raw elements, comments
-and void elements aside, with HTML's implied end tags). Parts that say what they are
-(navigation, footers, asides, forms, adverts, notices, reader comments) leave first. Every node then
-has the composite text density: characters per tag, lowered where the characters are
-in links. A node's density sum adds its children's densities; the node
+and void elements aside, with HTML's implied end tags) in one pass. Parts that say what they are
+(navigation, footers, asides, forms, adverts, reader comments) leave first; names that an article's own parts may have
+(legal, discussion, notice) count only outside of one. Every node then
+has the composite text density C/T log_b(C/LC T/LT), with b = ln(C/(C - LC) LC + LCbody/Cbody C + e): characters per tag, lowered
+where the characters are in links; counts under one are one, and ln b is ``LEAST_LOG`` at least, for it is nothing where a page has no links.
+A node's density sum adds its children's densities; the node
 with the largest is the main one, and the least density on its path to the body
 is the threshold by which parts beside that path are text too. Lists of links inside go.
 
 White space inside a block becomes one space, blocks are joined by one space.
 
 Edge cases: null and empty pages, and pages without text, give the empty string; broken markup
-is read as far as it goes; null ids and urls pass through; repeated rows stay; an
+is read as far as it goes, and quotes in tags that never close count for ``OPEN_QUOTES`` tags, so the time stays in proportion to
+the page, however long; of nodes with equal sums the denser, then the first is the main one; null ids and urls pass through; repeated rows stay; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -28,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 _RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|canvas|audio|video|select|xmp|noframes"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+", re.S)
+#: After so many tags whose quotes never close, quotes no longer hide the end of a tag; this keeps the time linear in the page.
+OPEN_QUOTES = 8
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Formatting is no node of its own in the counts.
@@ -43,11 +48,15 @@ _CLOSES = {
 }
 _SCOPE = {"body", "table", "td", "th", "button", "object", "ul", "ol", "li", "div", "section", "article", "main", "aside", "nav", "header", "footer", "blockquote", "form", "figure", "dl", "fieldset"}
 _OUT = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
-_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "note"}
+_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 #: Words of a class or id that name a part which is not the article.
-_OUT_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar side
-    footer copyright legal cookie cookies consent gdpr notice notices banner alert popup modal overlay comment comments disqus respond reply replies discussion
-    related recommended recommendations share sharing social newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets toolbar masthead skip""".split())
+_OUT_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar
+    footer copyright cookie cookies consent gdpr alert popup modal comment comments disqus respond reply replies
+    related recommended recommendations share sharing social newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar masthead""".split())
+#: The same, but the article may have such parts too: inside it they do not count.
+_OUTSIDE_WORDS = set("legal notice notices discussion response responses banner side widget widgets overlay skip".split())
+#: The logarithm's base is ln(...) of the formula, and tends to 1 where a page has no links: its own logarithm is held over this.
+LEAST_LOG = 0.1
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 
 
@@ -61,7 +70,7 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             words = re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", value)
             words = {w.lower() for w in words}
-            if words & _OUT_WORDS or "header" in words and not in_article and not words & {"article", "post", "entry"}:
+            if words & _OUT_WORDS or not in_article and words & _OUTSIDE_WORDS or "header" in words and not in_article and not words & {"article", "post", "entry"}:
                 return True
         elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -70,6 +79,40 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def tokens(html: str):
+    """(start, end, whether an end tag, name, attributes) of each piece of markup, in one pass; the name is None for comments and raw elements."""
+    at, broken, last = 0, 0, html.rfind(">")
+    while (i := html.find("<", at)) >= 0:
+        if html.startswith("<!--", i):
+            e = html.find("-->", i + 4)
+            at = len(html) if e < 0 else e + 3
+            yield i, at, False, None, ""
+            continue
+        if i > last:
+            return
+        m = _NAME.match(html, i)
+        if not m:
+            at = i + 1
+            if html[at : at + 1] in ("!", "?", "/"):
+                at = html.index(">", at) + 1
+                yield i, at, False, None, ""
+            continue
+        e = -1
+        if broken < OPEN_QUOTES:
+            e = _ATTRS.match(html, m.end()).end()
+            if html[e : e + 1] != ">":
+                e, broken = -1, broken + 1
+        if e < 0 and (e := html.find(">", m.end())) < 0:
+            return
+        at, name = e + 1, m[2].lower()
+        if not m[1] and name in _RAW_END:
+            close = _RAW_END[name].search(html, at)
+            at = close.end() if close else len(html)
+            yield i, at, False, None, ""
+        else:
+            yield i, at, bool(m[1]), name, html[m.end() : e]
+
+
 class Page:
     """The tree: parent, tag, count of characters, tags, link characters and link tags of each node, and its pieces of text."""
 
@@ -91,15 +134,11 @@ class Page:
             if s:
                 self.pieces.append((stack[-1], unescape(s) if "&" in s else s))
 
-        for m in _TOKEN.finditer(html):
-            text(html[at : m.start()])
-            at = m.end()
-            if m[1]:
-                continue
-            end, tag, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        for start, stop, end, tag, attrs in tokens(html):
+            text(html[at:start])
+            at = stop
             if not tag:
                 continue
-            tag = tag.lower()
             if tag in ("html", "body") and (end or open_.get(tag)):
                 continue
             if end:
@@ -181,9 +220,9 @@ class Page:
             if not c:
                 out.append(0.0)
                 continue
-            base = log(c / max(c - lc, 1) * lc + ratio * c + e)
+            base = log(log(c / max(c - lc, 1) * lc + ratio * c + e))
             arg = c / max(lc, 1) * max(t, 1) / max(lt, 1)
-            out.append(c / max(t, 1) * max(0.0, log(max(arg, 1.0)) / base))
+            out.append(c / max(t, 1) * log(max(arg, 1.0)) / max(base, LEAST_LOG))
         return out
 
     def select(self) -> list[bool]:
