@@ -3,7 +3,7 @@
 Everything is DataFrame expressions. Patterns give the base spans. Candidates are
 maximal runs of base64 characters of ``MIN_CANDIDATE`` or more with a letter and a digit.
 A candidate's character class (hex, alphanumeric, base64) sets its alphabet
-and threshold; a window of ``WINDOW`` characters slides over it, its counts are an array that one
+and threshold; a window of ``WINDOW`` characters slides over it, its counts are bit fields of a few integers that one
 character enters and one leaves, and ``sum(c log2 c)`` is kept up with each change; the highest
 entropy against the class threshold makes an ``entropy`` span. Allow-listed candidates
 (identifiers with dashes, counting sequences, example keys) are
@@ -33,6 +33,8 @@ KEYWORDS = ["password", "passwd", "secret", "token", "api_?key"]
 ASSIGN = f"({'|'.join(map(_either, KEYWORDS))})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"  # maximal runs, so the length can stand in the pattern
 MIN_VALUE = 6
+#: Matches that are placed together.
+PART = 64
 #: The entropy rule.
 WINDOW, MIN_CANDIDATE = 20, 20
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
@@ -42,9 +44,16 @@ CLASSES = [("hex", "^([0-9a-f]+|[0-9A-F]+)$", 3.01), ("alnum", "^[0-9A-Za-z]+$",
 #: A candidate that one of these finds is no secret.
 ALLOW = ["^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "EXAMPLE", "(?i)example|placeholder|changeme|xxxxxx",
          "0123456789", "abcdefghij", "^[0-9-]+$"]
+#: The counts of a window are fields of so many bits, so many in an integer; a count is ``WINDOW`` at most.
+FIELD_BITS, FIELDS = 6, 10
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of a pattern's matches; ``keep`` takes (match, index) and says which stay.
 
@@ -53,16 +62,27 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.coalesce(g, F.lit(0)).alias("g"), m.alias("m")))
+    matched = lambda x: F.coalesce(F.length(x["m"]), F.lit(0))
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    walk = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
-                (a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m"))))).alias("out")),
-        lambda a: a["out"])
+
+    def walk(start: Column, part: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(start.alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["g"] + matched(x)).alias("at"),
+                F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
+                    (a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m"))))).alias("out")),
+            lambda a: a["out"])
+
+    # lists grow by copies, so they grow in parts: the starts of the parts first, then each part by itself
+    parts = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / PART).cast("int")), lambda i: F.slice(z, i * PART + 1, F.lit(PART)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["g"] + matched(x))
+    starts = lambda b: F.aggregate(
+        b, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, part: F.struct((a["at"] + total(part)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    walked = lambda b: F.flatten(F.zip_with(starts(b), b, walk))
+    walk_all = _let(_let(sizes, parts), walked)
     rank = KINDS.index(kind)
-    out = F.transform(F.filter(walk, lambda x: keep(x["m"])), lambda x: F.struct(
+    out = F.transform(F.filter(walk_all, lambda x: keep(x["m"])), lambda x: F.struct(
         x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     return F.when(text.rlike(pattern), out).otherwise(none)
@@ -75,16 +95,20 @@ def _value_length(match: Column) -> Column:
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of ``s``."""
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))  # noqa: E731  1-based; instr keeps case
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
+    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))  # noqa: E731  1-based, 0 before the first; instr keeps case
+    zero = F.array_repeat(F.lit(0).cast("long"), len(ALPHABET) // FIELDS + 1)
     w = lambda c: F.element_at(weight, c + 1)
+    shift = lambda c: c % FIELDS * FIELD_BITS
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+    word = lambda c: F.floor(c / FIELDS).cast("int")
+    count = lambda n, c: F.call_function("shiftright", F.element_at(n, word(c) + 1), shift(c)).bitwiseAND(F.lit((1 << FIELD_BITS) - 1)).cast("int")
 
     def step(a: Column, i: Column) -> Column:
+        """One character enters and one leaves: two counts change by one, wherever they stand."""
         come, go = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(0))
-        c_in = F.element_at(a["n"], come)
-        c_out = F.when(go > 0, F.element_at(a["n"], F.greatest(go, F.lit(1)))).otherwise(F.lit(1))
+        c_in, c_out = count(a["n"], come), F.when(go > 0, count(a["n"], go)).otherwise(F.lit(1))
         change = F.when(come == go, F.lit(0.0)).otherwise(w(c_in + 1) - w(c_in) + F.when(go > 0, w(c_out - 1) - w(c_out)).otherwise(F.lit(0.0)))
-        counts = F.when(come == go, a["n"]).otherwise(F.transform(a["n"], lambda v, j: v + F.when(j + 1 == come, 1).when(j + 1 == go, -1).otherwise(0)))
+        counts = F.when(come == go, a["n"]).otherwise(F.transform(a["n"], lambda v, j: v + F.when(j == word(come), one(come)).otherwise(F.lit(0)) - F.when((go > 0) & (j == word(go)), one(go)).otherwise(F.lit(0))))
         total = a["t"] + change
         return F.struct(counts.alias("n"), total.alias("t"), F.when(i >= window, F.least(a["low"], total)).otherwise(a["low"]).alias("low"))
 
