@@ -8,7 +8,8 @@ put the pieces of their loosest bins together, a few groups at a time, and best-
 runs again; a repacking counts only if it saves a bin.
 
 Edge cases: null and empty texts are the end id alone; null ids are packed like
-others; rows with the same id are pieces of their own; an empty table gives an
+others; rows with the same id are pieces of their own, dealt by their place too, so equal rows spread over the groups;
+ties in length go by id and piece; a very long text is cut into many pieces; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, text_blocks
+from .common import discard, durable, table, text_blocks
 from .tokens import encoder
 
 CAPACITY, GROUP, MERGE, ROUNDS, END = 2048, 8192, 6, 4, 0
@@ -136,7 +137,8 @@ def best_fit_packing(parts: DataFrame, capacity: int = CAPACITY, group: int = GR
     total, bound = int(count.sum()), bound_of_counts(count, capacity)
     groups = max(1, -(-total // group))
     slack = capacity // 256
-    items = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the place a row was written at parts rows that are equal otherwise; the table is written, so it does not change
+    items = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     run = lambda df, s: df.groupBy("grp").applyInArrow(_pack_group(capacity, s), _packed(kind))
     packed = durable(run(items, slack), "packed")
     base = groups
@@ -156,14 +158,16 @@ def best_fit_packing(parts: DataFrame, capacity: int = CAPACITY, group: int = GR
         before = loose.select(key.alias("sup"), "grp", "bin").distinct().groupBy("sup").agg(F.count("*").alias("was"))
         after = again.select("grp", "bin").distinct().groupBy(F.col("grp").alias("sup")).agg(F.count("*").alias("is"))
         better = before.join(after, "sup").filter("is < was").select("sup")
-        kept = packed.withColumn("sup", F.when(F.col("loose"), key)).join(F.broadcast(better.withColumn("won", F.lit(True))), "sup", "left")
-        won = again.join(F.broadcast(better), again.grp == better.sup, "left_semi")
-        packed = durable(kept.filter("won is null").drop("sup", "won").unionByName(won), "packed")
+        better = durable(better, "better")  # its size grows with the groups, so Spark decides how to join it
+        kept = packed.withColumn("sup", F.when(F.col("loose"), key)).join(better.withColumn("won", F.lit(True)), "sup", "left")
+        won = again.join(better, again.grp == better.sup, "left_semi")
+        after_all = durable(kept.filter("won is null").drop("sup", "won").unionByName(won), "packed")
+        discard(packed, again, better)
+        packed = after_all
         base += supers
-        after_all = bins(packed)
-        if after_all >= now:
+        last, now = now, bins(packed)
+        if now >= last:
             break
-        now = after_all
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("grp") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
 
 
