@@ -189,7 +189,15 @@ def test_token_files(spark, docs, empty):
     first = manifest.orderBy("base").first()
     reader = SequenceReader(first["file"])
     flat = np.concatenate([i for i, _ in reader.batches()])
-    assert (reader.sequence(0) == flat[:64]).all() and len(flat) % 64 == 0
+    assert len(flat) == 64 * len(reader)
+    for k in (0, 1, len(reader) // 2, len(reader) - 1):
+        ids_, mask = reader.sequence(k)
+        assert (ids_ == flat[64 * k : 64 * k + 64]).all() and len(mask) == 64
+    assert {b.num_rows for b in map(reader.file.get_batch, range(reader.file.num_record_batches - 1))} <= {reader.batch}
+    same = spark.createDataFrame([(7, f"text {i % 3}") for i in range(300)] + [(None, "x")] * 200 + [(6, "y"), (8, "z")], docs.select("doc_id", "text").schema)
+    back = sorted(read_files(write_files(same, shared_path(spark, "t"), path, 64)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == [None] * 200 + [6] + [7] * 300 + [8]
+    assert all(x["start"] + x["n_tokens"] == y["start"] for x, y in zip(back, back[1:]))
     assert sum(int(np.sum(m.to_numpy(zero_copy_only=False))) for _, m in reader.batches()) == first["n_tokens"]
     assert read_files(write_files(empty, shared_path(spark, "t"), path)).count() == 0
 
@@ -202,8 +210,9 @@ def test_word_ids_are_those_of_whole_texts(name, spaced):
 
     w = Words(public_tokenizers.path(name), spaced)
     r = random.Random(2)
-    signs = ["a", "b", " ", " ", "\n", "\t", "\x85", "\xa0", "'s", "Σ", "é", "é", "́", "1", "23", "!!", "<|endoftext|>", "　", "\x1c", "\0", "İ", "ß"]
-    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(4000)]
+    signs = ["a", "b", " ", " ", "\n", "\t", "\x85", "\xa0", "'s", "Σ", "é", "é", "́", "1", "23", "!!", "<|endoftext|>", "　", "\x1c", "\0", "İ", "ß", "À", "Œ", ",", "'", "&"]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(4000)] + [
+        " ".join("".join(r.choices("abeÀéñß", k=r.randint(0, 6))) + "".join(r.choices(".,#$%'-_", k=r.randint(0, 3))) for _ in range(6)) for _ in range(2000)]
     assert w.encode(texts) == w.raw(texts)
 
 
@@ -361,8 +370,8 @@ def test_fuzzy_lines_against_brute_force(spark):
             if r.random() < 0.5:
                 w[r.randrange(30)] = r.choice(WORDS)
             lines.append(" ".join(w))
-        rows.append((i, "\n".join([*lines, "short"])))
-    items = [(i, k, set(o.shingle_codes(x).tolist())) for i, t in rows for k, x in enumerate(o._line_list(t)) if len(x) >= o.MIN_BYTES]
+        rows.append((i, "\n".join(lines)))
+    items = [(i, k, {x[j : j + 8] for j in range(len(x) - 7)}) for i, t in rows for k, x in enumerate(o._line_list(t)) if len(x) >= 8]
     root = list(range(len(items)))
 
     def find(x):
@@ -382,15 +391,15 @@ def test_fuzzy_lines_against_brute_force(spark):
 
 
 def test_short_lines(spark):
-    """Equal lines of any length are one; from SHINGLE bytes up, similar ones too."""
+    """Equal lines of any length are one; from SHINGLE characters up, similar ones too."""
     from pmx.llm import op9_line_dedup as o
 
     r = random.Random(9)
-    pool = ["".join(r.choices("abcdefghijklmnop ", k=r.randint(1, 23))).strip() or "x" for _ in range(150)] + ["你好", "Read more", "aaaaaaaa", "aaaaaaaaa"]
+    pool = ["".join(r.choices("abcdefghijklmnop ", k=r.randint(1, 23))).strip() or "x" for _ in range(150)] + ["你好", "Read more", "aaaaaaaa", "aaaaaaaaa", "你好世界，这是一行文字没有空格", "你好世界，这是一行文字没有空格。"]
     pool += [x + r.choice("qrs") for x in pool if len(x) > 10]
     rows = [(i, "\n".join(r.choices(pool, k=6))) for i in range(60)] + [(100, "\n\n")]
     items = [(i, k, x) for i, t in rows for k, x in enumerate(o._line_list(t)) if x]
-    sets = [set(o.shingle_codes(x).tolist()) for _, _, x in items]
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for _, _, x in items]
     root = list(range(len(items)))
 
     def find(x):
@@ -406,12 +415,12 @@ def test_short_lines(spark):
                 root[y] = x
     want = {items[j][:2] for j in range(len(items)) if find(j) != j}
     equal = {x[:2] for j, x in enumerate(items) if any(x[2] == y[2] for y in items[:j])}
-    out = o.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1)
+    out = o.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = {(x["doc_id"], x["line"]) for x in out.filter("removed").collect()}
     assert equal <= got and len(want ^ got) <= 0.05 * len(want)
     d = o.line_dedup(spark.createDataFrame([(1, "Read more\n\nb"), (2, "Read more\n\nc"), (3, "b")], "doc_id long, text string"))
     assert sorted(map(tuple, d.collect())) == [(1, "Read more\n\nb"), (2, "\nc")]
-    assert (o.signature([b"abcdefgh", b"abcdefghi"]) != o._NONE).all()
+    assert (o.signature(["abcdefgh", "abcdefghi"]) != o._NONE).all()
 
 
 def test_decontamination(spark, docs, empty):
@@ -430,36 +439,173 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate(docs, bench).count() == 0
 
 
-def test_latent_search_recall():
-    """Windows that a brute-force cosine in TF-IDF space finds are candidates, and no latent cosine is lower."""
+def test_short_and_long_items_and_repeated_ids(spark):
+    from pmx.llm.op4_decontamination import decontaminate, without_leaks
+
+    long = prose(200, 810)
+    rows = [(1, prose(300, 811) + " tri quux zap " + prose(300, 812)), (1, prose(200, 813)), (None, prose(90, 814) + " " + long + " " + prose(20, 815)), (None, prose(100, 816)), (2, "tri zap quux")]
+    d = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, item_id int, h string").repartition(2)
+    bench = spark.createDataFrame([(1, "Tri, quux zap!"), (2, long), (3, prose(30, 817))], "item_id long, text string")
+    assert sorted(((r["doc_id"] or 0, r["item_id"]) for r in decontaminate(d, bench).collect())) == [(0, 2), (1, 1)]
+    out = without_leaks(d, bench)
+    assert out.columns == d.columns and sorted(r["text"] for r in out.collect()) == sorted([rows[1][1], rows[3][1], rows[4][1]])
+    assert without_leaks(d.limit(0), bench).count() == 0 and without_leaks(d, bench.limit(0)).count() == 5
+
+
+def test_latent_retrieval_recall_against_brute_force(spark):
+    """Paraphrased items in prose: all that the common subsequence confirms anywhere are found by the latent search."""
     from pmx.llm import op4_decontamination as o
 
-    items = [o.Item(i, prose(r, 800 + i)) for i, r in enumerate((12, 20, 30, 45, 60))]
-    passages = [p for it in items for p in it.passages()]
-    owner = [i for i, it in enumerate(items) for _ in it.passages()]
-    terms = o.Terms({w for p in passages for w in p})
-    r = np.random.default_rng(0)
-    idf = (1 + r.random(terms.size)).astype(np.float32)
-    sketch = r.standard_normal((terms.size, 16)).astype(np.float32)
-    m = o.Latent(items, owner, passages, terms, idf, sketch)
-    docs = [o.words_of(prose(n, 900 + n)) + items[n % 5].words + o.words_of(prose(40, n)) for n in range(20, 60)]
-    got = m.candidates(docs, 0.3)
-    have = set(zip(got[0].tolist(), got[1].tolist(), got[3].tolist(), strict=True))
-    total = hit = 0
-    for d, w in enumerate(docs):
-        ids_ = terms(w)
-        for k, p in enumerate(passages):
-            width = o.STEP * (o.SMALL if len(p) <= o.SMALL_WORDS else o.LARGE)
-            b = np.bincount(terms(p), minlength=terms.size) * idf
-            for s in range(0, max(1, len(w) - width + 1), o.STEP):
-                x = np.bincount(ids_[s : s + width], minlength=terms.size) * idf
-                if x @ b / np.linalg.norm(x) / np.linalg.norm(b) >= 0.31:
-                    total += 1
-                    hit += (d, s // o.STEP, k) in have
-    assert total > 20 and hit / total >= 0.99
+    r = random.Random(41)
+    items = [prose(r.randint(14, 60), 2000 + i) for i in range(60)]
+    rows = []
+    for i in range(240):
+        w = items[i % 60].split()
+        for k in range(len(w)):
+            x = r.random()
+            w[k] = r.choice(WORDS) if x < 0.08 else "" if x < 0.12 else w[k] + " " + r.choice(WORDS) if x < 0.16 else w[k]
+        rows.append((i, prose(r.randint(0, 150), 3000 + i) + " " + " ".join(w) + " " + prose(r.randint(0, 150), 4000 + i)))
+    rows += [(1000 + i, prose(200, 5000 + i)) for i in range(100)]
+    made = [o.Item(i, t) for i, t in enumerate(items)]
+    want = set()
+    for i, t in rows:
+        words = o.words_of(t)
+        for it in made:
+            room, width = max(o.STEP, len(it.words)), o.STEP * (o.SMALL if len(it.words) <= o.SMALL_WORDS else o.LARGE)
+            if any(it.found(words[max(0, s - room) : s + width + room]) for s in range(0, len(words), o.STEP)):
+                want.add((i, it.item_id))
+    out = o.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in out.collect()}
+    assert len(want) > 200 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_singular_vectors_are_those_of_the_matrix():
+    from pmx.llm.op4_decontamination import singular_vectors
+
+    r = np.random.default_rng(3)
+    a = (r.standard_normal((80, 60)) * 0.8 ** np.arange(60)).astype(np.float32)
+    v = singular_vectors(lambda m: a.T @ (a @ m), 60, 8)
+    s = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(v.T @ v, np.eye(8), atol=1e-4)
+    assert np.linalg.norm(a @ v) ** 2 >= 0.999 * (s[:8] ** 2).sum()
+
+
+def test_secret_matches_cost_in_proportion(spark):
+    """Spans of many matches, over several parts, are those of a plain scan."""
+    import re
+
+    from pmx.llm.op6_secret_scan import HEX, PART, secret_scan
+
+    r = random.Random(4)
+    texts = [" ".join("é" * r.randint(0, 3) + "".join(r.choices("0123456789abcdef", k=r.randint(20, 30))) for _ in range(n)) for n in (1, PART - 1, PART, PART + 1, 5 * PART + 3)]
+    got = {x["doc_id"]: [(y["s"], y["e"]) for y in x["hex"]] for x in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [m.span() for m in re.finditer(HEX, t)] for i, t in enumerate(texts)}
+
+
+def test_markup_is_read_once():
+    """Tags whose quotes never close cost no second reading of the page; parts of an article stay whatever they are called."""
+    import time
+
+    from pmx.llm.op3_html_text import main_text
+
+    for piece in ('<a title="q ', '<a ">" ', "<p>x<div>", "<!-- ", "<script ", "< a"):
+        took = []
+        for n in (2000, 32_000):
+            start = time.process_time()
+            main_text(piece * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 16 * 8 * max(took[0], 0.005)
+    text = "<article><h1>T</h1><p>First paragraph, long enough.</p><div class=legal><p>The court held it.</p></div><section id=discussion><p>We discuss it here.</p></section></article>"
+    assert main_text(f"<body><nav><a href=x>menu</a></nav>{text}<div class=legal>all rights</div></body>") == "T First paragraph, long enough. The court held it. We discuss it here."
+
+
+def test_density_finds_the_article_without_names():
+    """Pages whose parts are named for nothing: blocks of the article are kept, those of menus and link lists are not."""
+    from pmx.llm.op3_html_text import main_text
+
+    hit = kept = total = 0
+    for i in range(60):
+        r = random.Random(900 + i)
+        blocks = [prose(r.randint(25, 90), 9000 + 20 * i + k) for k in range(r.randint(3, 9))]
+        links = lambda n: "".join(f"<li><a href=/{k}>{r.choice(WORDS)}MENU</a></li>" for k in range(n))  # noqa: B023, E731
+        page = f"<html><body><div class=a1><ul>{links(8)}</ul></div><div class=a2><div>{''.join(f'<p>{b}</p>' for b in blocks)}</div></div><div class=a3><ul>{links(r.randint(5, 20))}</ul></div></body></html>"
+        got = main_text(page)
+        hit += sum(b in got for b in blocks)
+        total += len(blocks)
+        kept += got.count("MENU")
+    assert hit >= 0.98 * total and kept <= 0.02 * total
+
+
+def test_held_out_accuracy(spark):
+    """Rules, classifier and languages on rows that they did not learn from."""
+    from pyspark.sql import functions as F
+
+    from pmx.llm import op1_quality_rules, op2_quality_knn, op7_language_id
+    from pmx.llm.common import split_residue, table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality").dropna()
+    rules = op1_quality_rules.train(docs, labels.withColumn("toxic", F.lit(0)).filter(split_residue(3) != 1))
+    got = op1_quality_rules.quality_rules(docs, rules).join(labels.filter(split_residue(3) == 1), "doc_id").toPandas()
+    assert len(got) > 50 and ((got.score >= 0.5) == (got.quality == 1)).mean() >= 0.95
+    got = op2_quality_knn.query(spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean() >= 0.97
+    got = op7_language_id.query(spark, sf).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred != 'und'").toPandas()
+    assert len(got) > 100 and (got.lang == got.lang_pred).mean() >= 0.97
+
+
+def test_fits_are_bounded_when_ids_repeat(spark):
+    from pmx.llm.common import bounded_rows, labelled_sample
+    from pmx.llm.op2_quality_knn import train
+
+    docs = spark.createDataFrame([(1, prose(30, k % 7)) for k in range(300)] + [(2, "x ! ! !")] * 300, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1)] * 50, "doc_id long, quality int")
+    assert labelled_sample(labels, 60).count() <= 2 and len(train(docs, labels).z) == 2
+    assert bounded_rows(docs, 5).count() <= 5
+
+
+def test_trees_as_arrays_against_a_walk():
+    from pmx.llm import op1_quality_rules as o
+
+    r = np.random.default_rng(2)
+    x = r.random((600, 4))
+    t = o.fit(x, (x[:, 0] + x[:, 1] > 1).astype(float), [0, 0, 0, 0])
+    for row in x[:40]:
+        margin = t.start
+        for k in range(len(t.feature)):
+            node = 0
+            for _ in range(o.DEPTH):
+                node = 2 * node + (2 if row[t.feature[k, node]] > t.threshold[k, node] else 1)
+            margin += t.leaf[k, node - (2**o.DEPTH - 1)]
+        assert abs(margin - t.margin(row[None, :])[0]) < 1e-9
 
 
 def test_spans_digest(spark):
     from pmx.llm.op6_secret_scan import query
 
     assert hashlib.sha256(b"").hexdigest() in {r["base_sha256"] for r in query(spark, "/root/testdata/sf0.001").collect()}
+
+
+IDENTITY = [(1, "A word here and there"), (2, "A word here and there"), (2, "B another thing entirely"), (3, "C once more of it"), (3, "C once more of it"),
+            (None, "D without an id at all"), (None, "D without an id at all"), (9, "D without an id at all"), (None, None), (None, None), (4, "")]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Near copies: one row of each text stays, whatever its id; line dedup: a unique line stays, whoever shares its id."""
+    from pmx.llm.op10_ngram_jaccard import without_near_copies
+    from pmx.llm.op9_line_dedup import line_dedup
+
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "s") for i, t in IDENTITY], "doc_id long, text string, _h int, _gone int, _doc int, h string").repartition(3)
+    out = without_near_copies(df)
+    assert out.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, IDENTITY[0][1]), (2, IDENTITY[2][1]), (3, IDENTITY[3][1]), (4, ""), (9, IDENTITY[7][1]), (None, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == want
+    want = [(1, IDENTITY[0][1]), (2, IDENTITY[2][1]), (3, IDENTITY[3][1]), (4, ""), (None, None), (None, None), (None, IDENTITY[5][1])]
+    out = line_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == want
+    two = spark.createDataFrame([(1, "A line of it"), (2, "A line of it\nC quite different"), (2, "B thing unlike all\nD last words")], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup(two).collect()) == ["A line of it", "B thing unlike all\nD last words", "C quite different"]
+    assert without_near_copies(df.limit(0)).count() == 0 and line_dedup(df.limit(0)).count() == 0
