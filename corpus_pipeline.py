@@ -1,47 +1,52 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate documents, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the docs of the next; all but the last return the columns of ``documents``.
+read again as the docs of the next; all but the last return the columns of ``documents``, whatever
+their names. Ids may be null or repeat; very long texts and ties are handled as the operators say; empty tables
+give empty tables, and without labels the base rule alone rejects.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pmx.deploy import ship
 from pmx.llm.common import durable, table
 from pmx.llm.op1_quality_rules import keep_documents, train
-from pmx.llm.op4_decontamination import decontaminate
+from pmx.llm.op4_decontamination import without_leaks
 from pmx.llm.op8_packing import pack_documents
 from pmx.llm.op9_line_dedup import line_dedup
-from pmx.llm.op10_ngram_jaccard import ngram_jaccard
+from pmx.llm.op10_ngram_jaccard import without_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null and empty texts are rejected, each row is judged by its own text."""
     return keep_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar lines the first stays; documents without a word left go."""
+    """Of similar lines the first stays; documents that lose their last line with a word go, texts without a word stay.
+
+    Rows that share an id are documents of their own; of equal rows (doc_id and text) one stays.
+    """
     return line_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link, the one with the smallest doc_id stays."""
-    gone = ngram_jaccard(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that link, the one with the smallest doc_id stays (null last, then by text); texts without a word stay.
+
+    Rows that share an id are documents of their own; of equal rows (doc_id and text) one stays.
+    """
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = durable(decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; each row is judged by its own text."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids, as the pieces of documents in them."""
+    """Sequences of token ids, as the pieces of documents in them; null and empty texts are the end id, every row is packed."""
     return pack_documents(docs)
 
 
