@@ -224,6 +224,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int)
     side = lambda c, n, s: made.select(F.col("ck").alias(c), F.col("n").alias(n), F.col("map").alias(s))
     close = pairs.select("a", "b").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     close = durable(close.mapInArrow(near, "a long, b long").distinct(), "close")
+    settle(spark)
     wanted = spark.sparkContext.broadcast(Filter(close.select(F.explode(F.array("a", "b")).alias("ck")).distinct(), "ck"))
 
     def moving(it):
@@ -247,6 +248,8 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int)
     links = durable(close.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
     asked.destroy()
     wanted.destroy()
+    discard(need, made, close)
+    settle(spark)
     return links
 
 
@@ -299,19 +302,23 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     buckets = max(16, total * (100 - percent) // 100 // BUCKET)
     dealt = _deal(docs, frequent, buckets, percent).repartition("bucket").sortWithinPartitions("bucket")
     found = durable(dealt.mapInArrow(gather(buckets), FOUND), "prefixes")
+    settle(spark)
     members = found.filter("kind = 2").select(F.col("a").alias("gk"), F.col("b").alias("ck"), "n", "s")
     groups = members.groupBy("gk").agg(F.min("ck").alias("rep"), F.first("n").alias("n"), F.count("*").alias("size"))
 
     posted = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("n").alias("at"), "m")
     weight = durable(posted.groupBy("node").agg(F.sum("m").alias("pop"), F.count("*").alias("most")), "weights")
+    settle(spark)
     g = lambda c, s: groups.select(F.col("gk").alias(c), F.col("rep").alias(f"rep{s}"), F.col("n").alias(f"n{s}"))
     arms = (stars(posted, weight).join(g("a", 1), "a").join(g("b", 2), "b")
             .filter(_may_link(F.col("n1"), F.col("n2"), F.col("shared"), percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")))
     inner = members.join(groups.filter("size > 1").select("gk", "rep"), "gk").filter("ck != rep").select(F.col("rep").alias("a"), F.col("ck").alias("b"))
     plain = classes.select("ck", "first")
     pairs = durable(arms.union(inner).distinct(), "pairs")
+    settle(spark)
     links = _verify(docs, plain, pairs, percent)
     comp = components(links)
+    discard(pairs)
 
     # group pairs that share a prefix token across components; a unit is what a group has in one component
     units = members.join(comp.withColumnRenamed("node", "ck"), "ck", "left").withColumn("comp", F.coalesce("component", "ck")).withColumn("uk", F.xxhash64("gk", "comp"))
@@ -327,9 +334,13 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     met = met.unionByName(own).select("token", "node", "n", "comp", "most", "at", "side", "s").repartition("token").sortWithinPartitions("token")
     # the tokens that a pair was found by are not all it shares, so their number rules nothing out
     near = durable(met.mapInArrow(across(percent, True), "u long, v long, n long").select("u", "v").distinct(), "group-pairs")
+    settle(spark)
     rest = durable(_expanded(units, near, percent), "pairs")
+    settle(spark)
     more = _verify(docs, plain, rest, percent)
+    discard(found, weight, parts, near, rest)
     comp = merged(comp, more)
+    discard(links, more)
     label = classes.join(comp.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "first", F.coalesce("component", "ck").alias("comp"))
     names = label.groupBy("comp").agg(F.min("first").alias("first"))
     return rows, label.select("ck", "comp").join(names, "comp").select("ck", "first")
