@@ -64,11 +64,15 @@ def t1a_p(spark, sf_dir):
     return enrich_p(spark, sf_dir).select("block_number", "log_index", "token_id", "market_id", rnd(C("norm_price")).alias("norm_price"), r4("volume"), r4("signed_flow"), "trade_sequence_num", rnd(C("delta_price")).alias("delta_price"), r4("cumulative_volume"), r4("cumulative_net_flow"))
 
 
-def qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets with over 5 trades an hour, or over 100 trades."""
+#: The floor of trades that the registered queries pass, for the test markets have few.
+FEW_TRADES = 65
+
+
+def qualifying(spark: SparkSession, sf_dir: str, per_hour: float = 5, floor: int = 100) -> DataFrame:
+    """Markets with over ``per_hour`` trades an hour, or over ``floor`` trades."""
     g = k_trades(spark, sf_dir).groupBy(C("ticker").alias("market_id")).agg(F.count("*").alias("total_trades"), (seconds_between(F.max("created_time"), F.min("created_time")) / F.lit(3600.0)).alias("time_span_hours"))
     rate = F.coalesce(ratio(C("total_trades"), C("time_span_hours")), F.lit(0.0))
-    return g.select(F.lit("k").alias("platform"), "market_id", "total_trades", "time_span_hours", rate.alias("trades_per_hour")).filter("trades_per_hour > 5 OR total_trades > 65")
+    return g.select(F.lit("k").alias("platform"), "market_id", "total_trades", "time_span_hours", rate.alias("trades_per_hour")).filter((C("trades_per_hour") > per_hour) | (C("total_trades") > floor))
 
 
 QUAL = """SELECT ticker AS market_id, COUNT(*) AS total_trades, EPOCH(MAX(created_time) - MIN(created_time)) / 3600.0 AS h FROM k_trades GROUP BY 1"""
@@ -76,8 +80,8 @@ QUAL = """SELECT ticker AS market_id, COUNT(*) AS total_trades, EPOCH(MAX(create
 
 @register("t1b_qualifying", oracle("""SELECT 'k' AS platform, market_id, total_trades, ROUND(h, 6) AS time_span_hours, ROUND(COALESCE(total_trades / NULLIF(h, 0), 0), 6) AS trades_per_hour FROM q WHERE COALESCE(total_trades / NULLIF(h, 0), 0) > 5 OR total_trades > 65""", q=QUAL))
 def t1b_qualifying(spark, sf_dir):
-    """The floor of trades is 65 here, for the test markets have few."""
-    return qualifying(spark, sf_dir).select("platform", "market_id", "total_trades", rnd(C("time_span_hours")).alias("time_span_hours"), rnd(C("trades_per_hour")).alias("trades_per_hour"))
+    """With ``FEW_TRADES`` as the floor."""
+    return qualifying(spark, sf_dir, floor=FEW_TRADES).select("platform", "market_id", "total_trades", rnd(C("time_span_hours")).alias("time_span_hours"), rnd(C("trades_per_hour")).alias("trades_per_hour"))
 
 
 def flow_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,7 @@ def t2_impact(spark, sf_dir):
   FROM ek WHERE ticker IN (SELECT market_id FROM q WHERE COALESCE(total_trades / NULLIF(h, 0), 0) > 5 OR total_trades > 65) WINDOW w AS (PARTITION BY ticker ORDER BY seq)""", ek=EK, q=QUAL))
 def t2_ofi(spark, sf_dir):
     """Order-flow imbalance over trailing trades of qualifying markets (a semi join before the windows)."""
-    q = qualifying(spark, sf_dir).select(C("market_id").alias("ticker"))
+    q = qualifying(spark, sf_dir, floor=FEW_TRADES).select(C("market_id").alias("ticker"))
     w = W.partitionBy("ticker").orderBy("trade_sequence_num")
     return enrich_k(spark, sf_dir).join(q, "ticker", "left_semi").select("ticker", "trade_id", "trade_sequence_num", "signed_flow", *[F.sum("signed_flow").over(w.rowsBetween(1 - n, 0)).alias(f"ofi_{n}") for n in (20, 50, 100)])
 

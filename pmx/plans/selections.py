@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pmx.functions import d, excess, rnd
 from pmx.operators.positions import positions
-from pmx.plans.enrichment import qualifying
+from pmx.plans.enrichment import FEW_TRADES, qualifying
 from pmx.plans.prices import resolved
 from pmx.plans.surfaces import aligned
 from pmx.registry import register
@@ -53,7 +53,7 @@ def budgeted_markets(spark, sf_dir, budget: int = 50, first: int = 20):
     q="SELECT ticker AS market_id, COUNT(*) AS total_trades, EPOCH(MAX(created_time) - MIN(created_time)) / 3600.0 AS h FROM k_trades GROUP BY 1"))
 def event_tickers(spark, sf_dir):
     """The most traded qualifying market of each event."""
-    q = qualifying(spark, sf_dir).select(C("market_id").alias("ticker"), C("total_trades").alias("n"))
+    q = qualifying(spark, sf_dir, floor=FEW_TRADES).select(C("market_id").alias("ticker"), C("total_trades").alias("n"))
     j = q.join(k_markets(spark, sf_dir).select("ticker", "event_ticker"), "ticker")
     return j.groupBy("event_ticker").agg(F.max_by("ticker", F.struct("n", "ticker")).alias("ticker"), F.max("n").alias("trades"))
 

@@ -69,9 +69,8 @@ def t4_fits(spark, sf_dir):
     return f.withColumn("best", C("ks") == F.min("ks").over(W.partitionBy("event_ticker")))
 
 
-@register("t4_evolution")
-def t4_evolution(spark, sf_dir):
-    """Mean and spread of an event's implied distribution at the end of each day, where 70 % of its strikes have traded."""
+def surface_evolution(spark: SparkSession, sf_dir: str, coverage: float = 0.7) -> DataFrame:
+    """Mean, spread, skew and kurtosis of an event's implied distribution at the end of each day on which ``coverage`` of its strikes have traded."""
     s = strikes(spark, sf_dir).select("event_ticker", "threshold")
     t = k_trades(spark, sf_dir).withColumn("threshold", threshold_of(C("ticker"))).withColumn("day", C("created_time").cast("date"))
     last = t.join(k_markets(spark, sf_dir).select("ticker", "event_ticker"), "ticker").groupBy("event_ticker", "threshold", "day").agg(F.max_by("yes_price", F.struct("created_time", "trade_id")).alias("price"))
@@ -80,16 +79,24 @@ def t4_evolution(spark, sf_dir):
     grid = s.join(days, "event_ticker").join(last, ["event_ticker", "threshold", "day"], "left").withColumn("price", F.last("price", ignorenulls=True).over(w))
     known = F.count("price").over(W.partitionBy("event_ticker", "day"))
     total = F.count("*").over(W.partitionBy("event_ticker", "day"))
-    grid = grid.withColumn("known", known).withColumn("total", total).filter("known >= 3 AND known >= 0.1 * total AND price IS NOT NULL")
+    grid = grid.withColumn("known", known).withColumn("total", total).filter((C("known") >= 3) & (C("known") >= coverage * C("total")) & C("price").isNotNull())
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         c = _curve(g)
         x, p = c["threshold"].to_numpy(), c["density"].to_numpy()
         p = p / p.sum() if p.sum() > 0 else np.full(len(p), 1 / len(p))
         mean = float((x * p).sum())
-        return pd.DataFrame({"event_ticker": [c["event_ticker"].iloc[0]], "day": [g["day"].iloc[0]], "strikes": [len(c)], "mean": [mean], "sd": [float(np.sqrt(((x - mean) ** 2 * p).sum()))]})
+        sd = float(np.sqrt(((x - mean) ** 2 * p).sum()))
+        skew, kurtosis = (float((((x - mean) / sd) ** k * p).sum()) if sd > 0 else 0.0 for k in (3, 4))
+        return pd.DataFrame({"event_ticker": [c["event_ticker"].iloc[0]], "day": [g["day"].iloc[0]], "strikes": [len(c)], "mean": [mean], "sd": [sd], "skew": [skew], "kurtosis": [kurtosis - 3 if sd > 0 else 0.0]})
+
+    return grid.groupBy("event_ticker", "day").applyInPandas(one, "event_ticker string, day date, strikes long, mean double, sd double, skew double, kurtosis double")
 
-    return grid.groupBy("event_ticker", "day").applyInPandas(one, "event_ticker string, day date, strikes long, mean double, sd double")
+
+@register("t4_evolution")
+def t4_evolution(spark, sf_dir):
+    """With a coverage of 10 %, for the test markets trade seldom."""
+    return surface_evolution(spark, sf_dir, 0.1)
 
 
 # ---- pairs
