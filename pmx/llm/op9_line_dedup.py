@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, column_blocks, components, discard, durable, fresh, merged, mix64, one_of_each, settle, table, text_hash
+from .common import Filter, column_blocks, components, discard, durable, fresh, merged, mix64, settle, table, text_hash
 from .pairs import FOUND, PACKED, across, cells, gather, packed, stars
 
 SHINGLE, PERCENT = 8, 75
@@ -204,7 +204,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            for _, texts in column_blocks(batch):
+            for _, texts in column_blocks(batch, chars=500_000):
                 lines = _long_lines(texts)
                 node = line_nodes(lines)
                 at = np.flatnonzero(shared.value(node))
@@ -213,7 +213,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def maps(it):
         for batch in it:
-            for at, lines in column_blocks(batch):
+            for at, lines in column_blocks(batch, chars=500_000):
                 n, s = sizes_and_maps(lines.to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lines)), lines, pa.array(n), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "text", "n", "s"])
 
@@ -226,7 +226,7 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def check(it):
         for batch in it:
-            for at, x in column_blocks(batch, "x"):
+            for at, x in column_blocks(batch, "x", 250_000):
                 a, b, y = (batch.column(i).slice(at, len(x)) for i in (0, 1, 3))
                 ok = pa.array(alike(x.to_pylist(), y.to_pylist()))
                 yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
@@ -269,19 +269,26 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with the removed lines taken out; those that lose their last line with a word are gone."""
-    h, i, j, gone = fresh(docs, "_h", "_i", "_j", "_gone")
+    """The documents with the removed lines taken out; those that lose their last line with a word are gone.
+
+    The documents move once, to meet their verdicts.
+    """
+    h, i, j, n, gone, stays = fresh(docs, "_h", "_i", "_j", "_n", "_gone", "_stays")
     marks = line_verdicts(docs).groupBy("doc_id", "h").agg(
         F.count_if(F.col("line") == 0).alias("n"), F.count_if(~F.col("blank")).alias("full"), F.collect_set(F.when(F.col("removed"), F.col("line"))).alias("gone"))
-    marks = durable(marks.filter("full > 0 and (n > 1 or size(gone) > 0)").withColumn("stays", F.col("full") > F.col("n") * F.size("gone")), "removed")
-    kept = one_of_each(docs, marks.filter("not stays or n > 1"))
-    m = marks.filter("stays and size(gone) > 0").select(F.col("doc_id").alias(i), F.col("h").alias(j), F.col("gone").alias(gone))
-    d = kept.withColumn(h, text_hash())
-    d = d.join(m, d["doc_id"].eqNullSafe(m[i]) & (d[h] == m[j]), "left")
+    marks = marks.filter("full > 0 and (n > 1 or size(gone) > 0)").withColumn("stays", F.col("full") > F.col("n") * F.size("gone"))
+    marks = durable(marks.select(F.col("doc_id").alias(i), F.col("h").alias(j), F.col("n").alias(n), F.col("gone").alias(gone), F.col("stays").alias(stays)), "removed")
+    settle(docs.sparkSession)
+    d = docs.withColumn(h, text_hash())
+    d = d.join(marks, d["doc_id"].eqNullSafe(marks[i]) & (d[h] == marks[j]), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
     # an array of one binds the lines to a name, so that the text is split once
     left = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda k: F.get(x, k)), "\n")
     rest = F.transform(F.array(F.split("text", "\n", -1)), left)[0]
-    return d.withColumn("text", F.when(F.col(gone).isNotNull(), rest).otherwise(F.col("text"))).select(*docs.columns)
+    d = d.withColumn("text", F.when(F.size(gone) > 0, rest).otherwise(F.col("text")))
+    several = F.coalesce(F.col(n) > 1, F.lit(False))
+    if marks.filter(F.col(n) > 1).take(1):  # equal rows: one stays
+        d = d.filter(~several).unionByName(d.filter(several).dropDuplicates(["doc_id", h]))
+    return d.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
