@@ -49,7 +49,7 @@ FREQUENT, MOST_FREQUENT = 8, 250_000
 #: Repeats are looked for among hashes under this share of their range, for higher ones are in hardly any prefix.
 LOW = 0.4
 #: Shingles held for that by a task at most.
-HELD = 8_000_000
+HELD = 4_000_000
 #: Prefix tokens in a bucket, about.
 BUCKET = 250_000
 #: Bits of a set's parity map.

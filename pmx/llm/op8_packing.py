@@ -27,6 +27,8 @@ from .tokens import encoder
 
 CAPACITY, GROUP, MERGE, ROUNDS, END = 2048, 8192, 6, 4, 0
 VOCABULARY = "word_bpe_49k.json"
+#: Words that a worker keeps; the pipeline's workers outlive the stage, and hold them on.
+KEEP_WORDS = 500_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -89,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         for batch in it:
             for at, texts in text_blocks(batch):
                 row, piece, size, crc = [], [], [], []
-                for i, ids in enumerate(encoder(vocabulary, False).encode(texts)):
+                for i, ids in enumerate(encoder(vocabulary, False, KEEP_WORDS).encode(texts)):
                     x = np.frombuffer(ids + END.to_bytes(2, "little"), np.uint16).astype("<u4")
                     for p, s in enumerate(range(0, len(x), capacity)):
                         part = x[s : s + capacity]

@@ -14,7 +14,7 @@ import re
 from array import array
 from itertools import islice
 
-#: Words known to a worker at most; beyond, only those learnt first stay, which holds the frequent ones.
+#: Words known to a worker at most (some 200 bytes each); beyond, only those learnt first stay, which holds the frequent ones.
 KEEP, STAY = 1_000_000, 200_000
 #: Latin letters, composed and with one lower case each, then signs; no apostrophe, for what follows one may belong to it.
 _PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
@@ -26,7 +26,7 @@ _SIGN_OF = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in
 class Words:
     """Encoder to little-endian uint16 ids (both vocabularies have fewer than 65,536)."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, keep: int = KEEP):
         """``spaced``: a word's ids depend on a space before it (byte-level); else white space leaves no ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -35,7 +35,7 @@ class Words:
         self.t.encode_special_tokens = True
         if self.t.get_vocab_size() >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.spaced, self.known, self.model = spaced, {}, self.t.model
+        self.spaced, self.keep, self.known, self.model = spaced, keep, {}, self.t.model
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,7 +79,7 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) > KEEP:
+        if len(self.known) > self.keep:
             self.known = dict(islice(self.known.items(), STAY))
         pieces = [self._pieces(t) if t else [] for t in texts]
         new = set().union(*(p for p in pieces if p)).difference(self.known)
@@ -100,8 +100,8 @@ class Words:
 _open: dict[tuple[str, bool], Words] = {}
 
 
-def encoder(path: str, spaced: bool) -> Words:
-    """One encoder a worker process."""
+def encoder(path: str, spaced: bool, keep: int = KEEP) -> Words:
+    """One encoder a worker process; the first use sets how many words it keeps."""
     if (path, spaced) not in _open:
-        _open[path, spaced] = Words(path, spaced)
+        _open[path, spaced] = Words(path, spaced, keep)
     return _open[path, spaced]
