@@ -22,6 +22,8 @@ from .common import split_residue, table, text_blocks
 
 #: Documents learnt from, in all (if each language has its least) and of one language, at most and at least.
 FIT_ROWS, PER_LANGUAGE, LEAST = 3000, 700, 20
+#: Names of languages whose counts are broadcast, at most.
+MOST_SENT = 10_000
 CENTROIDS, DIMS, TEMPERATURE, REJECT_QUANTILE, REJECT_MARGIN = 4, 4096, 0.03, 0.002, 0.15
 # classes: 0 anything else, 1-26 letters of either case, 27 lead bytes, 28-59 continuation bytes by their low 5 bits
 _CLASS = np.zeros(256, np.uint32)
@@ -95,7 +97,9 @@ def train(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = PER_LANGUAG
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.shiftrightunsigned("h", 33) / F.lit(float(1 << 31))
     quota = F.greatest(F.least(F.lit(per_language), F.lit(rows) / F.count("*").over(Window.partitionBy())), F.lit(LEAST))
-    some = known.join(sizes.withColumn("quota", quota), "lang").filter(share * F.col("n") < F.col("quota")).dropDuplicates(["h"]).select("doc_id", "lang", "text")
+    sizes = sizes.withColumn("quota", quota)
+    # a row a language: sent to all tasks where its size is checked, so that no text moves; else Spark joins as it sees fit
+    some = known.join(F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes, "lang").filter(share * F.col("n") < F.col("quota")).dropDuplicates(["h"]).select("doc_id", "lang", "text")
 
     def vectors(it):
         for batch in it:
