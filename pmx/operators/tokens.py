@@ -1,4 +1,4 @@
-"""Outcome tokens: the two ids of a market with the price each resolved to."""
+"""Outcome tokens and pools: what each resolved to, and the two positions of each of their trades."""
 
 from __future__ import annotations
 
@@ -26,3 +26,38 @@ def token_resolution(markets: DataFrame, mode: str = "strict") -> DataFrame:
     m = m.select("market_id", "prices", F.posexplode("ids").alias("i", "token_id"))
     price = F.get("prices", C("i"))
     return m.select("token_id", "market_id", price.isNotNull().alias("resolved"), F.when(price.isNotNull(), price > 0.99).alias("won"))
+
+
+def pool_resolution(markets: DataFrame, collateral: DataFrame, symbol: str = "USDC") -> DataFrame:
+    """fpmm_address (lower case), winning_outcome of closed markets with two prices, one over .99 and the other under .01.
+
+    Only pools that ``collateral`` (fpmm_address, collateral_symbol) lists under ``symbol``; of several markets of one pool the last id counts.
+    """
+    p = F.transform(F.from_json("outcome_prices", "array<string>"), lambda x: x.try_cast("double"))
+    winner = F.when((F.get("p", F.lit(0)) > 0.99) & (F.get("p", F.lit(1)) < 0.01), 0).when((F.get("p", F.lit(0)) < 0.01) & (F.get("p", F.lit(1)) > 0.99), 1)
+    m = markets.filter("closed").select("id", F.lower("market_maker_address").alias("fpmm_address"), p.alias("p")).filter(F.size("p") == 2)
+    m = m.select("id", "fpmm_address", winner.alias("winning_outcome")).filter("winning_outcome IS NOT NULL AND fpmm_address IS NOT NULL")
+    listed = collateral.filter(C("collateral_symbol") == symbol).select(F.lower("fpmm_address").alias("fpmm_address"))
+    return m.join(listed, "fpmm_address", "left_semi").groupBy("fpmm_address").agg(F.max_by("winning_outcome", "id").alias("winning_outcome"))
+
+
+def _both_sides(rows: DataFrame) -> DataFrame:
+    """price (whole cents) and won of buyer and seller, from rows (cents, won)."""
+    cents = lambda x: F.round(x).cast("int").alias("price")
+    both = F.array(F.struct(cents(C("cents")), C("won").alias("won")), F.struct(cents(F.lit(100.0) - C("cents")), (~C("won")).alias("won")))
+    return rows.select(F.inline(both))
+
+
+def token_positions(trades: DataFrame, tokens: DataFrame) -> DataFrame:
+    """price, won of both sides of fills of resolved tokens; '0' is the cash asset."""
+    buys = C("maker_asset_id") == "0"
+    cash, amount = F.when(buys, C("maker_amount")).otherwise(C("taker_amount")), F.when(buys, C("taker_amount")).otherwise(C("maker_amount"))
+    t = trades.filter("taker_amount > 0 AND maker_amount > 0").select(F.when(buys, C("taker_asset_id")).otherwise(C("maker_asset_id")).alias("token_id"), (F.lit(100.0) * (cash / amount)).alias("cents"))
+    return _both_sides(t.join(tokens.select("token_id", "won"), "token_id"))
+
+
+def pool_positions(trades: DataFrame, pools: DataFrame) -> DataFrame:
+    """price, won of both sides of pool trades; amounts are whole numbers as text."""
+    paid, got = C("amount").try_cast("double"), C("outcome_tokens").try_cast("double")
+    t = trades.filter(got > 0).select(F.lower("fpmm_address").alias("fpmm_address"), "outcome_index", (F.lit(100.0) * paid / got).alias("cents"))
+    return _both_sides(t.join(pools, "fpmm_address").select("cents", (C("outcome_index") == C("winning_outcome")).alias("won")))

@@ -265,6 +265,32 @@ def t6_daily(spark, sf_dir):
     return daily_calibration(spark, sf_dir).select(*_CELL, "trade_date", "total", r6("win_rate"), r6("mae_7d"), r6("mae_30d"), r6("mae_90d"), "vol_7d", rnd(C("mae_7d") * F.log1p("vol_7d") * (1 + F.abs(yes - 0.5))).alias("opportunity"))
 
 
+#: The thresholds of the sweep, half a point to ten.
+CALIBRATION_SWEEP = [i * 0.005 for i in range(1, 21)]
+
+
+def calibration_sweep(spark: SparkSession, sf_dir: str, thresholds: list[float] = CALIBRATION_SWEEP, max_price: int = 50, lag_days: int = 7, min_trades: int = 50) -> DataFrame:
+    """Metrics of taking NO against YES takers whose cell had a 7-day error over each threshold ``lag_days`` ago.
+
+    One plan: the trades are joined to the lagged cells once, and a trade counts for every threshold under its cell's error.
+    """
+    cells = daily_calibration(spark, sf_dir).filter((C("total") >= min_trades) & (C("taker_side") == "yes")).select(
+        "category", "price_bucket", "tte_bucket", F.date_add("trade_date", lag_days).alias("day"), F.round("mae_7d", 9).alias("mae"))
+    trades = resolved_for_backtest(spark, sf_dir).select(
+        "*", category(C("event_ticker")).alias("category"), cent_bucket(C("entry_price")).alias("price_bucket"), tte_bucket(C("time_to_expiry_s")).alias("tte_bucket"), C("timestamp").cast("date").alias("day"))
+    base = fade_longshot(max_price)
+    t = trades.filter(base.where()).join(cells, ["category", "price_bucket", "tte_bucket", "day"])
+    under = F.filter(F.array(*map(F.lit, thresholds)), lambda x: x < C("mae"))
+    return metrics(t.select("contracts", *payoff(base.side, base.fee), F.explode(under).alias("threshold")), "threshold")
+
+
+@register("bt_cal_sweep", oracle(f"""SELECT ROUND(i * CAST(0.005 AS DOUBLE), 3) AS threshold, {_METRICS} FROM r JOIN k5 ON r.trade_id = k5.id JOIN rl ON rl.category = k5.category AND rl.price_bucket = k5.price_bucket AND rl.tte_bucket = k5.tte_bucket AND rl.taker_side = 'yes' AND rl.trade_date = k5.lagged
+  JOIN (SELECT UNNEST(range(1, 21)) AS i) ON ROUND(mae_7d, 9) > i * CAST(0.005 AS DOUBLE) WHERE entry_price < 50 AND rl.total >= 50 GROUP BY i""", r=_RUN, dly=_DAILY, rl=_ROLL,
+    k5=f"SELECT trade_id AS id, {CAT} AS category, CAST(FLOOR(tp / 5.0) * 5 AS INTEGER) AS price_bucket, {TTE} AS tte_bucket, CAST(created_time AS DATE) - 7 AS lagged FROM (SELECT *, EPOCH(close_time - created_time) AS tte FROM rt)"))
+def bt_cal_sweep(spark, sf_dir):
+    return calibration_sweep(spark, sf_dir).withColumn("threshold", rnd(C("threshold"), 3))
+
+
 @register("t6_regime", oracle("""SELECT category, trade_date, COUNT(*) AS cells, COUNT(*) FILTER (WHERE ROUND(mae_7d, 9) > ROUND(mae_90d, 9)) AS worse, COUNT(*) FILTER (WHERE ROUND(mae_7d, 9) < ROUND(mae_90d, 9)) AS better FROM rl GROUP BY 1, 2""", dly=_DAILY, rl=_ROLL))
 def t6_regime(spark, sf_dir):
     a, b = F.round("mae_7d", 9), F.round("mae_90d", 9)

@@ -11,7 +11,7 @@ from pmx.deploy import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The modules of pmx.plans, in order.
-PLANS = ["prices", "periods", "enrichment", "addresses", "categories", "backtest", "surfaces", "semantic", "learning", "selections", "sources"]
+PLANS = ["prices", "periods", "enrichment", "addresses", "categories", "chain", "backtest", "surfaces", "semantic", "learning", "selections", "sources"]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

@@ -63,7 +63,22 @@ def p_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.concat(F.lit("Will "), F.col("p_name"), F.lit(" ship as "), F.col("p_type"), F.lit("?")).alias("question"),
         F.concat(F.lit('["'), key, F.lit('","'), key, F.lit('N"]')).alias("clob_token_ids"),
         F.when(size % 3 == 0, '["1","0"]').when(size % 3 == 1, '["0","1"]').otherwise('["0.6","0.4"]').alias("outcome_prices"),
-        (size % 5 != 0).alias("closed"), F.col("p_retailprice").alias("volume"))
+        (size % 5 != 0).alias("closed"), F.col("p_retailprice").alias("volume"), F.concat(F.lit("0X"), key).alias("market_maker_address"))
+
+
+def pool_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with the pools of markets, amounts as text: returned lines stand for them."""
+    part, quantity = F.col("l_partkey").cast("string"), F.col("l_quantity").cast("double")
+    whole = lambda x: x.cast("long").cast("string")
+    return raw(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
+        F.concat(F.lit("0x"), part).alias("fpmm_address"), whole(quantity * (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 97) * 10000).alias("amount"),
+        whole(quantity * 1000000).alias("outcome_tokens"), (F.col("l_linenumber") % 2).cast("int").alias("outcome_index"))
+
+
+def collateral_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fpmm_address, collateral_symbol: every third market stands for those in USDC."""
+    key = F.col("p_partkey")
+    return raw(spark, sf_dir, "part").select(F.concat(F.lit("0x"), key.cast("string")).alias("fpmm_address"), F.when(key % 3 == 0, "USDC").otherwise("WETH").alias("collateral_symbol"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +111,10 @@ CTES = {
     "p_markets": """SELECT CAST(p_partkey AS VARCHAR) AS id, CONCAT('Will ', p_name, ' ship as ', p_type, '?') AS question,
   CONCAT('["', CAST(p_partkey AS VARCHAR), '","', CAST(p_partkey AS VARCHAR), 'N"]') AS clob_token_ids,
   CASE WHEN p_size % 3 = 0 THEN '["1","0"]' WHEN p_size % 3 = 1 THEN '["0","1"]' ELSE '["0.6","0.4"]' END AS outcome_prices,
-  p_size % 5 <> 0 AS closed, p_retailprice AS volume FROM part""",
+  p_size % 5 <> 0 AS closed, p_retailprice AS volume, CONCAT('0X', CAST(p_partkey AS VARCHAR)) AS market_maker_address FROM part""",
+    "pool_trades": """SELECT CONCAT('0x', CAST(l_partkey AS VARCHAR)) AS fpmm_address, CAST(CAST(CAST(l_quantity AS DOUBLE) * (1 + (l_orderkey + l_linenumber) % 97) * 10000 AS BIGINT) AS VARCHAR) AS amount,
+  CAST(CAST(CAST(l_quantity AS DOUBLE) * 1000000 AS BIGINT) AS VARCHAR) AS outcome_tokens, CAST(l_linenumber % 2 AS INTEGER) AS outcome_index FROM lineitem WHERE l_returnflag = 'R'""",
+    "collateral_list": """SELECT CONCAT('0x', CAST(p_partkey AS VARCHAR)) AS fpmm_address, CASE WHEN p_partkey % 3 = 0 THEN 'USDC' ELSE 'WETH' END AS collateral_symbol FROM part""",
     "blocks": """SELECT DISTINCT CAST(DATEDIFF('day', TIMESTAMP '1995-01-01 00:00:00', l_shipdate) AS BIGINT) AS block_number,
   CONCAT(CAST(CAST(l_shipdate AS DATE) AS VARCHAR), 'T00:00:00Z') AS timestamp FROM lineitem""",
     # often used
