@@ -30,6 +30,13 @@ def ingest_market_trades(spark, sf_dir):
     return t.groupBy(F.split_part("ticker", F.lit("-"), F.lit(2)).cast("long").alias("market")).agg(F.count("*").alias("trades"), F.sum("count").alias("contracts"))
 
 
+@register("ingest_markets", "SELECT CASE WHEN i % 4 = 0 THEN 'open' ELSE 'finalized' END AS status, COUNT(*) AS markets, COUNT(DISTINCT i % 9) AS events, CAST(SUM(10 * i) AS BIGINT) AS volume FROM range(0, 120) t(i) GROUP BY 1")
+def ingest_markets(spark, sf_dir):
+    """The list of markets, by pages."""
+    register_sources(spark)
+    return spark.read.format("pmx_markets").load().groupBy("status").agg(F.count("*").alias("markets"), F.count_distinct("event_ticker").alias("events"), F.sum("volume").alias("volume"))
+
+
 @register("block_interpolation", oracle("""SELECT b AS block_number, CAST(COALESCE(t0 + FLOOR((b - b0) * (t1 - t0) / CAST(b1 - b0 AS DOUBLE)), t0) AS BIGINT) AS ts FROM (SELECT b0, t0, b1, t1, UNNEST(generate_series(b0, COALESCE(b1 - 1, b0))) AS b FROM (
   SELECT block_number AS b0, ts AS t0, LEAD(block_number) OVER (ORDER BY block_number) AS b1, LEAD(ts) OVER (ORDER BY block_number) AS t1 FROM (SELECT block_number, CAST(EPOCH(CAST(REPLACE(timestamp, 'Z', '') AS TIMESTAMP)) AS BIGINT) + block_number % 7 AS ts FROM blocks WHERE block_number % 10 = 0)))"""))
 def block_interpolation(spark, sf_dir):

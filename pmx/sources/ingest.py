@@ -1,8 +1,9 @@
 """Ingestion as Spark data sources.
 
 Paged services (by cursor or offset) and block ranges of a chain are read by partitions; a provider
-makes the calls. Live providers need a network and are injected; the offline provider makes
-rows from their number, so that plans and tests run anywhere.
+makes the calls. Option ``provider`` names it as ``module:function`` (importable by the executors); live ones need a
+network and are not part of this package. The default is offline: it makes rows from their number, so that plans and tests run
+anywhere. A schema given to the reader replaces the source's own, for services with other columns.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +22,48 @@ TRADES = "trade_id string, ticker string, count int, yes_price int, no_price int
 LOGS = "block_number long, log_index int, maker string, taker string, maker_asset_id string, taker_asset_id string, maker_amount long, taker_amount long"
 
 
+MARKETS = "ticker string, event_ticker string, status string, result string, volume long"
+#: Answers of a service after which a call is made again.
+RETRY_STATUS = {429, 500, 502, 503, 504}
+
+
+class HttpStatus(Exception):
+    """A provider's answer with a status that is no success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
 class RangeTooLarge(Exception):
     """A provider's answer to a range with too many rows."""
 
 
 def with_retry(call: Callable, attempts: int = 5, first: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep):
-    """The call's result; waits twice as long after each failed connection, and gives up after ``attempts``."""
+    """The call's result; waits twice as long after each failed connection or busy answer, and gives up after ``attempts``.
+
+    Other answers (a wrong request, a missing page) are raised at once.
+    """
     for i in range(attempts):
         try:
             return call()
-        except (ConnectionError, TimeoutError):
-            if i == attempts - 1:
+        except (ConnectionError, TimeoutError, HttpStatus) as e:
+            if i == attempts - 1 or isinstance(e, HttpStatus) and e.status not in RETRY_STATUS:
                 raise
             sleep(min(most, first * 2**i))
 
 
+def provider(options, default: Callable) -> Callable:
+    """The function that option ``provider`` names, or the default."""
+    name = options.get("provider")
+    if not name:
+        return default
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError(f"provider {name} is not module:function")
+    return getattr(import_module(module), function)
+
+
 def read_range(fetch: Callable[[int, int], list], start: int, end: int) -> Iterator:
     """Rows of [start, end): ranges that are too large are halved."""
     todo = [(start, end)]
@@ -72,7 +101,7 @@ def offline_logs(start: int, end: int, most: int = 400) -> list[tuple]:
 
 
 class ChainLogs(DataSource):
-    """format("pmx_chain_logs"): options start, end, step (blocks a partition)."""
+    """format("pmx_chain_logs"): options start, end, step (blocks a partition), provider: (start, end) -> rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,13 +116,14 @@ class ChainLogs(DataSource):
 
 class _LogReader(DataSourceReader):
     def __init__(self, options):
+        self.options = options
         self.start, self.end, self.step = (int(options.get(k, v)) for k, v in (("start", 0), ("end", 1000), ("step", 1000)))
 
     def partitions(self):
         return [Span(a, min(a + self.step, self.end)) for a in range(self.start, self.end, self.step)]
 
     def read(self, partition):
-        yield from read_range(offline_logs, partition.start, partition.end)
+        yield from read_range(provider(self.options, offline_logs), partition.start, partition.end)
 
 
 def offline_trades(ticker: int) -> Callable[[str | None], tuple[list, str | None]]:
@@ -109,7 +139,7 @@ def offline_trades(ticker: int) -> Callable[[str | None], tuple[list, str | None
 
 
 class MarketTrades(DataSource):
-    """format("pmx_market_trades"): options markets, per_partition."""
+    """format("pmx_market_trades"): options markets, per_partition, provider: market -> (cursor -> rows, next cursor)."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,18 +154,52 @@ class MarketTrades(DataSource):
 
 class _TradeReader(DataSourceReader):
     def __init__(self, options):
+        self.options = options
         self.markets, self.step = int(options.get("markets", 100)), int(options.get("per_partition", 25))
 
     def partitions(self):
         return [Span(a, min(a + self.step, self.markets)) for a in range(0, self.markets, self.step)]
 
     def read(self, partition):
+        trades_of = provider(self.options, offline_trades)
         for t in range(partition.start, partition.end):
-            yield from read_pages(offline_trades(t))
+            yield from read_pages(trades_of(t))
+
+
+def offline_markets(cursor: str | None) -> tuple[list[tuple], str | None]:
+    """Pages of 50 made-up markets, 120 in all; the cursor is an offset, as some services have it."""
+    at = int(cursor or 0)
+    rows = [(f"KXT-{i}", f"KXE-{i % 9}", "finalized" if i % 4 else "open", ("yes" if i % 3 else "no") if i % 4 else "", 10 * i) for i in range(at, min(at + 50, 120))]
+    return rows, str(at + 50) if at + 50 < 120 else None
+
+
+class MarketList(DataSource):
+    """format("pmx_markets"): option provider: cursor -> (rows, next cursor); option cursor resumes. A chain of cursors is one partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pmx_markets"
+
+    def schema(self) -> str:
+        return MARKETS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _MarketReader(self.options)
+
+
+class _MarketReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+
+    def partitions(self):
+        return [InputPartition(0)]
+
+    def read(self, partition):
+        yield from read_pages(provider(self.options, offline_markets), self.options.get("cursor"))
 
 
 def register_sources(spark: SparkSession) -> None:
-    for source in (ChainLogs, MarketTrades):
+    for source in (ChainLogs, MarketTrades, MarketList):
         spark.dataSource.register(source)
 
 

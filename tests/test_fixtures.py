@@ -11,7 +11,7 @@ from pmx.operators.bandjoin import band_join
 from pmx.operators.graph import label_propagation
 from pmx.operators.prefix import running_total
 from pmx.operators.timegrid import bars, gap_filled
-from pmx.operators.tokens import token_resolution
+from pmx.operators.tokens import pool_positions, pool_resolution, token_positions, token_resolution
 from pmx.plans import backtest, semantic
 from pmx.plans.categories import threshold_of
 from pmx.sources import ingest
@@ -231,3 +231,60 @@ def test_streaming_bars_equal_batch(spark, trades, tmp_path):
     final = {(r["ticker"], r["bar_start"]): tuple(r) for r in spark.read.parquet(out).collect()}
     batch = {(r["ticker"], r["bar_start"]): tuple(r) for r in stream_bars(trades).collect()}
     assert final and all(batch[k] == v for k, v in final.items())
+
+
+def test_busy_answers_are_tried_again_and_others_are_not():
+    answers, waits = [429, 503, None], []
+
+    def call():
+        status = answers.pop(0)
+        if status:
+            raise ingest.HttpStatus(status)
+        return "ok"
+
+    assert ingest.with_retry(call, sleep=waits.append) == "ok" and waits == [1.0, 2.0]
+    answers[:] = [404, None]
+    with pytest.raises(ingest.HttpStatus):
+        ingest.with_retry(call, sleep=waits.append)
+    assert answers == [None] and len(waits) == 2
+
+
+def test_injected_providers(spark, tmp_path):
+    module = tmp_path / "own_service.py"
+    module.write_text("""
+from pmx.sources.ingest import RangeTooLarge
+
+def pages(cursor):
+    return ([(f"m{cursor or 0}", 1.5)], None if cursor == "2" else str(int(cursor or 0) + 1))
+
+def blocks(start, end):
+    if end - start > 3:
+        raise RangeTooLarge
+    return [(b, f"0x{b}") for b in range(start, end)]
+""")
+    spark.sparkContext.addPyFile(str(module))
+    ingest.register_sources(spark)
+    own = spark.read.format("pmx_markets").schema("id string, price double").option("provider", "own_service:pages")
+    assert sorted(own.load().collect()) == [("m0", 1.5), ("m1", 1.5), ("m2", 1.5)]
+    assert sorted(own.option("cursor", "2").load().collect()) == [("m2", 1.5)]
+    logs = spark.read.format("pmx_chain_logs").schema("block long, pool string").options(provider="own_service:blocks", start="0", end="20", step="8").load()
+    assert sorted(r["block"] for r in logs.collect()) == list(range(20))
+    with pytest.raises(ValueError):
+        ingest.provider({"provider": "own_service"}, None)
+
+
+def test_pools(spark):
+    markets = spark.createDataFrame(
+        [("1", "0XAa", '["1","0"]', True), ("2", "0xBB", '["0","1"]', True), ("3", "0xcc", '["0","1"]', True), ("4", "0xdd", '["0.6","0.4"]', True), ("5", "0xee", '["1","0"]', False), ("6", None, '["1","0"]', True),
+         ("7", "0xff", None, True), ("8", "0xab", '["0.005","0.995"]', True)],
+        "id string, market_maker_address string, outcome_prices string, closed boolean")
+    listed = spark.createDataFrame([(a, "USDC") for a in ("0xaa", "0xBB", "0xdd", "0xee", "0xff", "0xab")] + [("0xcc", "WETH")], "fpmm_address string, collateral_symbol string")
+    pools = pool_resolution(markets, listed)
+    assert sorted(map(tuple, pools.collect())) == [("0xaa", 0), ("0xab", 1), ("0xbb", 1)]
+    trades = spark.createDataFrame([("0xAA", "30", "100", 0), ("0xbb", "255", "1000", 0), ("0xbb", "1", "0", 0), ("0xcc", "1", "2", 1), ("0xaa", None, "5", 0)],
+                                   "fpmm_address string, amount string, outcome_tokens string, outcome_index int")
+    got = sorted((r["price"], r["won"]) for r in pool_positions(trades, pools).filter("price IS NOT NULL").collect())
+    assert got == [(26, False), (30, True), (70, False), (75, True)]  # halves go up: 25.5 and 74.5
+    fills = spark.createDataFrame([("0", "A", 40.0, 100.0), ("B", "0", 50.0, 10.0), ("0", "A", 0.0, 5.0), ("0", "Z", 1.0, 2.0)], "maker_asset_id string, taker_asset_id string, maker_amount double, taker_amount double")
+    tokens = spark.createDataFrame([("A", True), ("B", False)], "token_id string, won boolean")
+    assert sorted(map(tuple, token_positions(fills, tokens).collect())) == [(20, False), (40, True), (60, False), (80, True)]
