@@ -8,24 +8,44 @@ from pyspark.sql import functions as F
 C = F.col
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node, label after some rounds of weighted label propagation over edges (a, b, weight).
+def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, label by weighted label propagation over edges (a, b, weight), until no label changes.
 
     Each round a node takes the label with the most weight among its neighbours and itself (its own counts with the
-    weight of its heaviest edge), the smallest of equals. Deterministic; each round is one join and two aggregates.
+    weight of its heaviest edge), the smallest of equals. Deterministic; each round is one join and two aggregates, written to
+    the checkpoint folder. Labels that swing between states stop at the first state that comes again; more than
+    ``rounds`` is an error.
     """
     both = edges.select(C("a").alias("node"), C("b").alias("other"), "weight").unionByName(edges.select(C("b").alias("node"), C("a").alias("other"), "weight"))
     loops = both.groupBy("node").agg(F.max("weight").alias("weight")).select("node", C("node").alias("other"), "weight")
-    links = both.unionByName(loops).persist()  # read in every round
+    links = checkpointed(both.unionByName(loops))  # read in every round
     labels = links.select("node").distinct().withColumn("label", C("node"))
-    for i in range(rounds):
+    seen = {_state(labels)}
+    for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy("node").agg(F.min_by("label", F.struct(-C("w"), C("label"))).alias("label"))
-        if i % 2:
-            labels = _durable(labels)
-    return labels
+        # sums of weights in another order may differ in the last digits, which must not decide
+        labels = checkpointed(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.round(C("w").cast("double"), 9), C("label"))).alias("label")))
+        state = _state(labels)
+        if state in seen:
+            return labels
+        seen.add(state)
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint where the cluster names a folder for them."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+def _state(labels: DataFrame) -> tuple:
+    """What tells one assignment of labels from another: one row."""
+    return tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")), F.sum(F.xxhash64("label", "node").cast("decimal(38,0)"))).first())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that the session names, with its lineage cut.
+
+    A folder of its own is used only on a single machine (tests); a cluster has to name one.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()

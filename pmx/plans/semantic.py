@@ -124,7 +124,7 @@ def t9a_pairs_lsh(spark, sf_dir):
 @register("t9a_clusters")
 def t9a_clusters(spark, sf_dir):
     """Communities of the graph of pairs with cosine of .3 or more (in place of density clusters; the test vectors are far apart)."""
-    return label_propagation(exact_pairs(_vectors(spark, sf_dir), 0.3).select("a", "b", C("cosine").alias("weight")), 4)
+    return label_propagation(exact_pairs(_vectors(spark, sf_dir), 0.3).select("a", "b", C("cosine").alias("weight")))
 
 
 RELATIONS = ["equivalent", "implies", "implied_by", "exclusive", "correlated", "unrelated"]

@@ -49,9 +49,9 @@ def test_against_oracle(name, spark, con, sf):
     assert a or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"t9a_pairs_lsh", "t9b_classified", "t9a_clusters", "t4_evolution"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows(name, spark, sf):
-    assert registry.queries()[name](spark, sf).count() > 0
+    assert registry.queries()[name](spark, sf).count() > 0 or name == "t4_evolution"  # no day has enough strikes there
 
 
 def test_entry(spark):
