@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["op1_quality_rules", "op2_quality_knn", "op3_html_text", "op4_decontamination", "op5_token_files", "op6_secret_scan", "op7_language_id", "op8_packing", "op9_line_dedup", "op10_ngram_jaccard"]
+_MODULES = ["op1_quality_rules", "op2_quality_knn", "op3_html_text", "op4_decontamination", "op5_token_files", "op6_secret_scan", "op7_language_id", "op8_packing", "op9_line_dedup", "op10_ngram_jaccard",
+            "op11_importance_resampling", "op12_url_filters", "op13_periodic_runs"]
 
 
 def _all():
