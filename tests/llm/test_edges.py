@@ -149,6 +149,52 @@ def test_window_entropy_against_brute_force(spark):
         assert abs(h - want) < 1e-9
 
 
+def test_window_entropy_over_parts(spark):
+    """Windows that reach over the border of a part count."""
+    from pmx.llm.op6_secret_scan import ALPHABET, window_entropy, window_over
+
+    r = random.Random(6)
+    texts = ["".join(r.choices(ALPHABET[: r.randint(2, 60)], k=r.randint(1, 70))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = df["t"]
+    for whole, parts, over in df.select(window_entropy(t), window_entropy(t, part=19), window_over(t, window_entropy(t) - 1e-9, part=23)).collect():
+        assert abs(whole - parts) < 1e-9 and over == (whole > 0)
+
+
+def test_secrets_of_letters_and_beside_allowed_words(spark):
+    import string
+
+    from pmx.llm.op6_secret_scan import secret_scan
+
+    r = random.Random(8)
+    letters = ["".join(r.choices(string.ascii_letters, k=40)) for _ in range(60)]
+    mixed = ["".join(r.choices(string.ascii_letters + string.digits, k=40)) for _ in range(60)]
+    clean = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "/en/articles/2024-01-01/the-thing-that-is-here", "20240101-123456-0000000001",
+             "x/123e4567-e89b-12d3-a456-426614174000/example", "Donaudampfschifffahrtsgesellschaft"]
+    rows = [f"see https://x.io/example/{m} now" for m in mixed] + [f"key {m} end" for m in letters] + clean
+    got = {x["doc_id"]: [(y["s"], y["e"]) for y in x["entropy"]] for x in secret_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(60)) >= 58 and sum(got[i] == [(4, 44)] for i in range(60, 120)) >= 58
+    assert [rows[i] for i in got if i >= 120 and got[i]] == []
+
+
+def test_secret_runs_cost_in_proportion(spark):
+    """One run of any length, with a secret in it or not."""
+    import time
+
+    from pmx.llm.op6_secret_scan import ALPHABET, secret_scan, window_entropy
+
+    r, longest = random.Random(9), 160_000
+    for signs in (ALPHABET[:64], "abcd"):
+        took = []
+        for n in (2000, 20_000, 40_000, 80_000, longest):
+            df = spark.createDataFrame([(1, "".join(r.choices(signs, k=n)))], "doc_id long, text string")
+            start = time.perf_counter()
+            found = secret_scan(df).select("entropy", window_entropy(df["text"])).collect()[0]
+            took.append(time.perf_counter() - start)
+            assert [(x["s"], x["e"]) for x in found["entropy"]] == ([(0, n)] if len(signs) > 4 else [])
+        assert all(b < 2.5 * a + 0.5 for a, b in zip(took[1:], took[2:]))
+
+
 def test_html_edges(spark):
     from pmx.llm.op3_html_text import extract, main_text
 
