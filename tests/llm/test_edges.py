@@ -189,7 +189,8 @@ def test_secret_runs_cost_in_proportion(spark):
         for n in (2000, 20_000, 40_000, 80_000, longest):
             df = spark.createDataFrame([(1, "".join(r.choices(signs, k=n)))], "doc_id long, text string")
             start = time.perf_counter()
-            found = secret_scan(df).select("entropy", window_entropy(df["text"])).collect()[0]
+            found = secret_scan(df).collect()[0]
+            df.select(window_entropy(df["text"])).collect()
             took.append(time.perf_counter() - start)
             assert [(x["s"], x["e"]) for x in found["entropy"]] == ([(0, n)] if len(signs) > 4 else [])
         assert all(b < 2.5 * a + 0.5 for a, b in zip(took[1:], took[2:]))
