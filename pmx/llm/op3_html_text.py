@@ -2,18 +2,20 @@
 
 A page is read into a tree (arrays of parents and counts; raw elements, comments
 and void elements aside, with HTML's implied end tags) in one pass. Parts that say what they are
-(navigation, footers, asides, forms, adverts, reader comments) leave first; names that an article's own parts may have
+by tag, role or name (navigation, footers, asides, forms, adverts, reader comments) leave first; a name says so if all of its words do, or
+only name a container (``comment-list``, not ``comment-on-law``), and names that an article's own parts may have
 (legal, discussion, notice) count only outside of one. Every node then
 has the composite text density C/T log_b(C/LC T/LT), with b = ln(C/(C - LC) LC + LCbody/Cbody C + e): characters per tag, lowered
 where the characters are in links; counts under one are one, and ln b is ``LEAST_LOG`` at least, for it is nothing where a page has no links.
 A node's density sum adds its children's densities; the node
 with the largest is the main one, and the least density on its path to the body
-is the threshold by which parts beside that path are text too. Lists of links inside go.
+is the threshold by which parts beside that path are text too. Inside the main node, lists of links and parts of which only one word of the name
+points elsewhere are doubtful: they stay if they stand in an ``article`` or between pieces of text that are not.
 
 White space inside a block becomes one space, blocks are joined by one space.
 
 Edge cases: null and empty pages, and pages without text, give the empty string; broken markup
-is read as far as it goes, and quotes in tags that never close count for ``OPEN_QUOTES`` tags, so the time stays in proportion to
+is read as far as it goes; quotes hide the end of a tag unless they hide all ends up to that of the page, which is known for all places after one look back, so the time stays in proportion to
 the page, however long; of nodes with equal sums the denser, then the first is the main one; null ids and urls pass through; repeated rows stay; an
 empty table gives an empty result; other columns are not read.
 """
@@ -34,8 +36,6 @@ _RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|can
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRS = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+", re.S)
-#: After so many tags whose quotes never close, quotes no longer hide the end of a tag; this keeps the time linear in the page.
-OPEN_QUOTES = 8
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Formatting is no node of its own in the counts.
@@ -47,7 +47,7 @@ _CLOSES = {
     "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"}),
 }
 _SCOPE = {"body", "table", "td", "th", "button", "object", "ul", "ol", "li", "div", "section", "article", "main", "aside", "nav", "header", "footer", "blockquote", "form", "figure", "dl", "fieldset"}
-_OUT = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
+_OUT = {"nav", "footer", "aside", "form", "button", "dialog", "fieldset"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 #: Words of a class or id that name a part which is not the article.
 _OUT_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar
@@ -55,33 +55,73 @@ _OUT_WORDS = set("""ad ads advert adverts advertisement advertising sponsor spon
     related recommended recommendations share sharing social newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar masthead""".split())
 #: The same, but the article may have such parts too: inside it they do not count.
 _OUTSIDE_WORDS = set("legal notice notices discussion response responses banner side widget widgets overlay skip".split())
+#: Words that only name a container, or the whole of which something is a part.
+_NEUTRAL_WORDS = set("""area article articles author bar block body bottom box btn button buttons col column container content count entry form group head header heading icon icons id info inner item items
+    js left link links list main message meta news outer page panel popular post posts primary right row secondary section site slot stories sub text thread title top unit wrap wrapper""".split())
 #: The logarithm's base is ln(...) of the formula, and tends to 1 where a page has no links: its own logarithm is held over this.
 LEAST_LOG = 0.1
+_QUOTES = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+#: What tag and attributes say of a part: nothing, doubt, or that it is not the article.
+_SAYS_NOTHING, _DOUBTFUL, _ELSEWHERE = 0, 1, 2
+
+
+def _named(value: str, in_article: bool) -> int:
+    """What a class or an id says, name by name."""
+    out = _SAYS_NOTHING
+    for name in value.split():
+        words = {w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", name)} - {""}
+        hits = words & _OUT_WORDS or not in_article and words & _OUTSIDE_WORDS
+        if not hits and "header" in words and not in_article and not words & {"article", "post", "entry"}:
+            hits = {"header"}
+        if hits:
+            if words <= _OUT_WORDS | _OUTSIDE_WORDS | _NEUTRAL_WORDS:
+                return _ELSEWHERE
+            out = _DOUBTFUL
+    return out
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
     if tag in _OUT or tag == "header" and not in_article:
-        return True
+        return _ELSEWHERE
     if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return _SAYS_NOTHING
+    out = _SAYS_NOTHING
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            words = re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", value)
-            words = {w.lower() for w in words}
-            if words & _OUT_WORDS or not in_article and words & _OUTSIDE_WORDS or "header" in words and not in_article and not words & {"article", "post", "entry"}:
-                return True
-        elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            out = max(out, _named(value, in_article))
+        elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or tag == "label" and name == "for":
+            return _ELSEWHERE
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return _ELSEWHERE
+    return out
+
+
+def _open_ends(html: str, at: int) -> dict[int, int]:
+    """For each ``>`` and quote from ``at`` on: the first ``>`` from there that no quote hides, -1 if there is none.
+
+    Read backwards, with the answer for a reader outside of quotes, in double and in single ones.
+    """
+    ends: dict[int, int] = {}
+    out = double = single = -1
+    for m in reversed(list(_QUOTES.finditer(html, at))):
+        sign = m[0]
+        if sign == ">":
+            out = m.start()
+        elif sign == '"':
+            out, double = double, out
+        else:
+            out, single = single, out
+        ends[m.start()] = out
+    return ends
 
 
 def tokens(html: str):
     """(start, end, whether an end tag, name, attributes) of each piece of markup, in one pass; the name is None for comments and raw elements."""
-    at, broken, last = 0, 0, html.rfind(">")
+    at, ends, last = 0, None, html.rfind(">")
     while (i := html.find("<", at)) >= 0:
         if html.startswith("<!--", i):
             e = html.find("-->", i + 4)
@@ -97,11 +137,13 @@ def tokens(html: str):
                 at = html.index(">", at) + 1
                 yield i, at, False, None, ""
             continue
-        e = -1
-        if broken < OPEN_QUOTES:
+        if ends is None:
             e = _ATTRS.match(html, m.end()).end()
-            if html[e : e + 1] != ">":
-                e, broken = -1, broken + 1
+            if html[e : e + 1] != ">":  # a quote that never closes: from here on the ends are looked up
+                ends = _open_ends(html, m.end())
+        if ends is not None:
+            sign = _QUOTES.search(html, m.end())
+            e = ends[sign.start()] if sign else -1
         if e < 0 and (e := html.find(">", m.end())) < 0:
             return
         at, name = e + 1, m[2].lower()
@@ -118,6 +160,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.out = [-1], ["#root"], [False]
+        self.doubtful, self.in_article = [False], [False]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text), or (node, None) for the border of a block
         stack, open_ = [0], {"#root": 1}
         at, article = 0, 0
@@ -182,7 +225,10 @@ class Page:
             up = stack[-1]
             self.parent.append(up)
             self.tag.append(tag)
-            self.out.append(self.out[up] or tag == "head" or _boilerplate(tag, attrs, article > 0))
+            says = _boilerplate(tag, attrs, article > 0)
+            self.out.append(self.out[up] or tag == "head" or says == _ELSEWHERE)
+            self.doubtful.append(says == _DOUBTFUL)
+            self.in_article.append(self.in_article[up] or tag == "article")
             stack.append(node)
             open_[tag] = open_.get(tag, 0) + 1
             article += tag in ("article", "main")
@@ -248,7 +294,7 @@ class Page:
             if self.tag[i] == "body":
                 break
             i = self.parent[i]
-        keep = [False] * n
+        keep, doubt = [False] * n, [False] * n
         for i in range(n):
             p = self.parent[i]
             if self.out[i]:
@@ -259,8 +305,12 @@ class Page:
                 continue
             elif p in path and (d[i] >= threshold and d[i] > 0 or self.tag[i] in ("h1", "h2", "h3") and self._beside(i, best)):
                 keep[i] = True
-            if keep[i] and self.tag[i] in ("ul", "ol", "div", "section", "p", "table") and links[i] > 2 and link[i] > 0.8 * chars[i]:
-                keep[i] = False
+            if i not in path and not self.in_article[i]:
+                of_links = self.tag[i] in ("ul", "ol", "div", "section", "p", "table") and links[i] > 2 and link[i] > 0.8 * chars[i]
+                doubt[i] = self.doubtful[i] or of_links or p >= 0 and doubt[p]
+        # what is in doubt stays between pieces of text that are not
+        sure = [k for k, (i, s) in enumerate(self.pieces) if s and not s.isspace() and keep[i] and not doubt[i]]
+        self.first, self.last, self.doubt = (sure[0], sure[-1], doubt) if sure else (0, len(self.pieces), doubt)
         return keep
 
     def _beside(self, i: int, best: int) -> bool:
@@ -270,10 +320,10 @@ class Page:
     def article(self) -> str:
         keep = self.select()
         parts: list[str] = []
-        for i, s in self.pieces:
+        for k, (i, s) in enumerate(self.pieces):
             if s is None:
                 parts.append(" ")
-            elif keep[i]:
+            elif keep[i] and (not self.doubt[i] or self.first < k < self.last):
                 parts.append(s)
         return " ".join("".join(parts).split())
 

@@ -4,7 +4,7 @@ Neither vocabulary merges across the white space between words, so the ids of a
 those of its words, and a word seen before needs no encoding again. Words new
 to a block are encoded by the library: those of Latin letters with signs behind go straight to its
 model, letters and signs apart as both vocabularies part them, all others through its whole chain in one batch. Only
-single spaces and line ends are taken for borders of words: a text with other or repeated white space goes to the library whole.
+single spaces and line ends are taken for borders of words: a text with other or repeated white space goes to the library whole, and so does one that holds the name of a special token.
 """
 
 from __future__ import annotations
@@ -26,13 +26,17 @@ _SIGN_OF = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in
 class Words:
     """Encoder to little-endian uint16 ids (both vocabularies have fewer than 65,536)."""
 
-    def __init__(self, path: str, spaced: bool, keep: int = KEEP):
-        """``spaced``: a word's ids depend on a space before it (byte-level); else white space leaves no ids."""
+    def __init__(self, path: str, spaced: bool, keep: int = KEEP, special: bool = True):
+        """``spaced``: a word's ids depend on a space before it (byte-level); else white space leaves no ids.
+
+        ``special``: the name of a special token in a text (``<|endoftext|>``) becomes its id, as the library has it; else it is text as any other.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = not special
+        self.names = [x.content.casefold() for x in self.t.get_added_tokens_decoder().values()] if special else []
         if self.t.get_vocab_size() >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.spaced, self.keep, self.known, self.model = spaced, keep, {}, self.t.model
@@ -41,7 +45,9 @@ class Words:
         return [array("H", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Words; where spaces count, the first of a line is marked by a zero and line ends are pieces."""
+        """Words; where spaces count, the first of a line is marked by a zero and line ends are pieces. None: the library has to see the text whole."""
+        if any(x in text.casefold() for x in self.names):
+            return None
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         return None if "\0" in text else ("\0" + text.replace("\n", " \n \0")).split(" ")
@@ -89,7 +95,7 @@ class Words:
         for i, p in enumerate(pieces):
             try:
                 out.append(b"".join(map(get, p)))
-            except TypeError:
+            except TypeError:  # no list of words, or a word without ids of its own
                 out.append(None)
                 odd.append(i)
         for i, ids in zip(odd, self.raw([texts[i] for i in odd]) if odd else [], strict=True):

@@ -183,10 +183,10 @@ def test_secret_runs_cost_in_proportion(spark):
 
     from pmx.llm.op6_secret_scan import ALPHABET, secret_scan, window_entropy
 
-    r, longest = random.Random(9), 160_000
+    r = random.Random(9)
     for signs in (ALPHABET[:64], "abcd"):
         took = []
-        for n in (2000, 20_000, 40_000, 80_000, longest):
+        for n in (2000, 20_000, 40_000, 80_000):
             df = spark.createDataFrame([(1, "".join(r.choices(signs, k=n)))], "doc_id long, text string")
             start = time.perf_counter()
             found = secret_scan(df).collect()[0]
@@ -222,7 +222,6 @@ def test_token_files(spark, docs, empty):
     out = read_files(manifest).collect()
     assert ids(out) == ALL
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {}
     for i, x in ROWS:
         a = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
@@ -252,6 +251,7 @@ def test_token_files(spark, docs, empty):
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_word_ids_are_those_of_whole_texts(name, spaced):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     from pmx.llm.tokens import Words
 
@@ -261,6 +261,14 @@ def test_word_ids_are_those_of_whole_texts(name, spaced):
     texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(4000)] + [
         " ".join("".join(r.choices("abeÀéñß", k=r.randint(0, 6))) + "".join(r.choices(".,#$%'-_", k=r.randint(0, 3))) for _ in range(6)) for _ in range(2000)]
     assert w.encode(texts) == w.raw(texts)
+    # the names of special tokens are their ids, as the library has it; or text, where that is asked for
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    some = [t for t in texts if "<|" in t][:300] + ["<|ENDOFTEXT|>", "a<|endoftext|><|endoftext|>b c", "<|endoftext|", "x <|startoftext|> y"]
+    ids = lambda b: list(np.frombuffer(b, np.uint16))
+    assert list(map(ids, w.encode(some))) == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    text = Words(public_tokenizers.path(name), spaced, special=False)
+    end = plain.token_to_id("<|endoftext|>")
+    assert text.encode(some) == text.raw(some) and end in ids(w.encode(some)[-3]) and not any(end in ids(x) for x in text.encode(some))
 
 
 def test_packing(spark, docs, empty):
@@ -555,17 +563,76 @@ def test_markup_is_read_once():
 
     from pmx.llm.op3_html_text import main_text
 
-    for piece in ('<a title="q ', '<a ">" ', "<p>x<div>", "<!-- ", "<script ", "< a"):
+    for piece in ('<a title="q ', '<a ">" ', "<a title='q\" >", '<a ">\' ', "<p>x<div>", "<!-- ", "<script ", "< a"):
         took = []
         for n in (2000, 32_000):
             start = time.process_time()
             main_text(piece * n)
             took.append(time.process_time() - start)
-        assert took[1] < 16 * 8 * max(took[0], 0.005)
+        assert took[1] < 16 * 3 * max(took[0], 0.005), piece
     text = "<article><h1>T</h1><p>First paragraph, long enough.</p><div class=legal><p>The court held it.</p></div><section id=discussion><p>We discuss it here.</p></section></article>"
     assert main_text(f"<body><nav><a href=x>menu</a></nav>{text}<div class=legal>all rights</div></body>") == "T First paragraph, long enough. The court held it. We discuss it here."
 
 
+LONG = "The court held that the whole of the matter was open to review, and it said so at some length in its reasons. "
+
+
+@pytest.mark.parametrize("part", [
+    f'<div class="share-price"><p>{LONG}</p></div>', f'<section id="comment-on-law"><p>{LONG}</p></section>', f'<p class="social-policy">{LONG}</p>', f'<div class="cookie-recipes">{LONG}</div>',
+    "<p>See <a href=a>the first long report</a>, <a href=b>the second long report</a> and <a href=c>the third long report</a>.</p>",
+    "<ul><li><a href=a>First source of it</a></li><li><a href=b>Second source of it</a></li><li><a href=c>Third source of it</a></li></ul>", f"<label>{LONG}</label>", f"<menu><li>{LONG}</li></menu>"])
+def test_article_keeps_its_parts(part):
+    """Names of which one word points elsewhere, and links, cost an article nothing; with or without an ``article`` tag, between its paragraphs."""
+    import re
+
+    from pmx.llm.op3_html_text import main_text
+
+    words = " ".join(re.sub("<[^>]*>", " ", part).split()).replace(" ,", ",").replace(" .", ".")
+    for tag in ("article", "div"):
+        page = f"<body><nav><a href=x>menu</a></nav><{tag}><p>{LONG}</p>{part}<p>{LONG}</p></{tag}><footer>end</footer></body>"
+        assert main_text(page) == f"{LONG}{words} {LONG}".strip(), tag
+
+
+def test_parts_that_are_elsewhere():
+    from pmx.llm.op3_html_text import main_text
+
+    assert main_text(f'<body><div class="cookie-recipes">{LONG}</div></body>') == LONG.strip()
+    for name in ("comments", "comment-list", "post-comments", "share-buttons", "main-nav", "site-footer", "newsletter-signup", "cookie-notice", "alert", "relatedPosts", "ad-slot-3"):
+        assert main_text(f'<body><article><p>{LONG}</p><div class="{name}"><p>{LONG}elsewhere</p></div></article></body>') == LONG.strip(), name
+    links = "".join(f"<li><a href={k}>Some other page {k}</a></li>" for k in range(6))
+    assert main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></div></body>") == (LONG * 2).strip()
+
+
+def test_quotes_hide_ends_of_tags_where_they_close():
+    """Against a plain reader: a quote hides what stands before the next of its kind; if no end is left then, quotes count for nothing in that tag."""
+    from pmx.llm.op3_html_text import tokens
+
+    def plain_end(html, at):
+        quote = None
+        for k in range(at, len(html)):
+            if quote:
+                quote = None if html[k] == quote else quote
+            elif html[k] in "\"'":
+                quote = html[k]
+            elif html[k] == ">":
+                return k + 1
+        return html.find(">", at) + 1
+
+    for seed in range(3000):
+        r = random.Random(seed)
+        html = "".join(r.choices(["<a ", "<b", "x", '"', "'", ">", " ", "</p"], k=r.randint(1, 40)))
+        at, want = 0, []
+        while (i := html.find("<", at)) >= 0 and ">" in html[i:]:
+            k = i + len("</p") if html.startswith("</p", i) else i + 2
+            while k < len(html) and html[k] not in " />":
+                k += 1
+            at = plain_end(html, k)
+            if not at:
+                break
+            want.append((i, at))
+        assert [(a, b) for a, b, *_ in tokens(html)] == want, html
+
+
 def test_density_finds_the_article_without_names():
     """Pages whose parts are named for nothing: blocks of the article are kept, those of menus and link lists are not."""
     from pmx.llm.op3_html_text import main_text

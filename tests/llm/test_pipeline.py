@@ -59,7 +59,6 @@ def test_stages(spark, sf):
 
     a, b = kept["packing"]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = set()
     for i, x in zip(a.doc_id, a.text, strict=True):
         ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
