@@ -1,7 +1,9 @@
-"""Communities of a weighted undirected graph."""
+"""Communities and spanning forests of a weighted undirected graph."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,118 @@ def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
+_WEIGHT = "decimal(28,6)"
+
+
+def modularity(edges: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """One row: the modularity of ``labels`` over edges (a, b, weight)."""
+    at = lambda c: labels.select(C(node).alias(c), C(label).alias(f"{c}_label"))
+    e = edges.join(at("a"), "a").join(at("b"), "b")
+    ends = e.select(F.explode(F.array("a_label", "b_label")).alias("label"), "weight").groupBy("label").agg(F.sum("weight").alias("d"))
+    inside = e.agg(F.sum(F.when(C("a_label") == C("b_label"), C("weight")).otherwise(0)).cast("double").alias("inside"), F.sum("weight").cast("double").alias("m"))
+    square = ends.agg(F.sum(C("d").cast("double") * C("d").cast("double")).alias("square"))
+    return inside.crossJoin(F.broadcast(square)).select((C("inside") / C("m") - C("square") / (4 * C("m") * C("m"))).alias("modularity"))
+
+
+def louvain(edges: DataFrame, levels: int = 12, rounds: int = 24, least: float = 1e-4) -> DataFrame:
+    """node, label by modularity over edges (a, b, weight): local moving, then the same on the graph of communities, level by level.
+
+    In a round every node looks at the communities of its neighbours, and half of the nodes, another half each
+    time, move to where modularity gains most (of equals the smallest label); a node alone joins another one alone only if that has the smaller label, so two never
+    swap. Rounds of a level end when modularity rises by less than ``least``, and the best state counts. Then
+    communities become nodes, their inner weight a loop. A round is two joins and two aggregates over
+    tables; no task holds a community. Weights are decimals of six places, so sums do not depend on their order. Labels are the smallest node.
+    """
+    w = C("weight").cast(_WEIGHT)
+    links = edges.filter("a != b").select(C("a").alias("node"), C("b").alias("other"), w.alias("w")).unionByName(edges.filter("a != b").select(C("b").alias("node"), C("a").alias("other"), w.alias("w")))
+    links = checkpointed(links.groupBy("node", "other").agg(F.sum("w").cast(_WEIGHT).alias("w")))
+    loops = edges.filter("a = b").groupBy(C("a").alias("node")).agg((F.sum(w) * 2).cast(_WEIGHT).alias("loop"))
+    # of a node that has nothing but a loop nothing can change, but it is a node
+    members = checkpointed(links.select("node").union(loops.select("node")).distinct().withColumn("top", C("node")))
+    for level in range(levels):
+        nodes = links.groupBy("node").agg(F.sum("w").alias("d")).join(loops, "node", "full").select(
+            "node", (F.coalesce("d", F.lit(0)) + F.coalesce("loop", F.lit(0))).cast(_WEIGHT).alias("k"), F.coalesce("loop", F.lit(0)).cast(_WEIGHT).alias("loop"), C("node").alias("c"))
+        nodes = checkpointed(nodes)
+        total, inner = (float(x or 0) for x in nodes.agg(F.sum("k"), F.sum("loop")).first())
+        if not total:
+            break
+        start, best, best_q = nodes, None, None
+        for r in range(rounds):
+            moved = checkpointed(_moves(links, nodes, total, level * rounds + r))
+            square = nodes.groupBy("c").agg(F.sum("k").cast("double").alias("t")).agg(F.sum((C("t") / total) * (C("t") / total)))
+            inside, wish, square = moved.agg(F.sum("own_in").cast("double"), F.count_if("wish")).crossJoin(F.broadcast(square)).first()  # one row each
+            q = (inside + inner) / total - square
+            if best is not None and q < best_q + (least if r % 2 == 0 else 0):
+                best, best_q = (nodes, q) if q > best_q else (best, best_q)
+                break
+            best, best_q = nodes, q
+            if not wish:
+                break
+            nodes = moved.select("node", "k", "loop", C("to").alias("c"))
+        if best is None or best is start or not best.filter("node != c").take(1):
+            break
+        to = best.select("node", "c")
+        members = checkpointed(members.join(to.select(C("node").alias("top"), "c"), "top", "left").select("node", F.coalesce("c", "top").alias("top")))
+        e = links.join(to, "node").join(to.select(C("node").alias("other"), C("c").alias("oc")), "other").groupBy("c", "oc").agg(F.sum("w").cast(_WEIGHT).alias("w"))
+        e = checkpointed(e)
+        own = best.groupBy("c").agg(F.sum("loop").alias("loop")).join(e.filter("c = oc").select("c", "w"), "c", "left")
+        loops = checkpointed(own.select(C("c").alias("node"), (C("loop") + F.coalesce("w", F.lit(0))).cast(_WEIGHT).alias("loop")))
+        links = e.filter("c != oc").select(C("c").alias("node"), C("oc").alias("other"), "w")
+    names = members.groupBy("top").agg(F.min("node").alias("label"))
+    return members.join(names, "top").select("node", "label")
+
+
+def _moves(links: DataFrame, nodes: DataFrame, total: float, turn: int) -> DataFrame:
+    """node, k, loop, to, own_in (weight into the own community now) and wish (whether another one is better)."""
+    sums = nodes.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
+    stay = nodes.select("node", C("c").alias("oc"), F.lit(0).cast(_WEIGHT).alias("w"))
+    pull = links.join(nodes.select(C("node").alias("other"), C("c").alias("oc")), "other").select("node", "oc", "w").unionByName(stay).groupBy("node", "oc").agg(F.sum("w").cast("double").alias("w"))
+    own = C("oc") == C("c")
+    k = C("k").cast("double")
+    x = pull.join(nodes, "node").join(sums.withColumnRenamed("c", "oc"), "oc")
+    x = x.withColumn("gain", F.round(C("w") - k * (C("t").cast("double") - F.when(own, k).otherwise(0.0)) / total, 9))
+    seen = x.groupBy("node").agg(
+        F.first("k").alias("k"), F.first("loop").alias("loop"), F.first("c").alias("c"), F.max(F.when(own, C("w"))).alias("own_in"), F.max(F.when(own, C("n"))).alias("own_n"), F.max(F.when(own, C("gain"))).alias("own_gain"),
+        F.min_by(F.struct("oc", "n", "gain"), F.struct(-C("gain"), C("oc"))).alias("best"))
+    wish = (C("best.gain") > C("own_gain")) & ~((C("own_n") == 1) & (C("best.n") == 1) & (C("best.oc") > C("c")))
+    turns = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return seen.select("node", "k", "loop", F.when(wish & turns, C("best.oc")).otherwise(C("c")).alias("to"), "own_in", wish.alias("wish"))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The minimum spanning forest (a, b, weight) of edges (a, b, weight), by Boruvka's rounds.
+
+    Each round every tree takes its lightest edge outwards (of equal ones by a, then b), trees that meet become one by pointer doubling,
+    and of the edges between two trees the lightest stays. Rounds grow with the logarithm of the nodes; trees are labels on edges, never groups in a task.
+    """
+    live = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
+    live = checkpointed(live.groupBy("a", "b").agg(F.min("weight").alias("weight")).select("a", "b", "weight", C("a").alias("ca"), C("b").alias("cb")))
+    forest = live.select("a", "b", "weight").limit(0)
+    edge = F.struct("weight", "a", "b")
+    while live.take(1):
+        both = live.select(C("ca").alias("c"), C("cb").alias("o"), edge.alias("e")).unionByName(live.select(C("cb").alias("c"), C("ca").alias("o"), edge.alias("e")))
+        chosen = checkpointed(both.groupBy("c").agg(F.min(F.struct("e", "o")).alias("x")).select("c", C("x.o").alias("up"), C("x.e").alias("e")))
+        forest = checkpointed(forest.unionByName(chosen.select("e.a", "e.b", "e.weight").distinct()))
+        # two trees that took the same edge: the smaller label is the root
+        back = chosen.select(C("c").alias("up"), C("up").alias("back"))
+        root = pointer_roots(chosen.join(back, "up").select("c", F.when((C("back") == C("c")) & (C("c") < C("up")), C("c")).otherwise(C("up")).alias("up")))
+        to = lambda c: root.select(C("c").alias(c), C("up").alias(f"{c}_new"))  # noqa: B023, E731
+        moved = live.join(to("ca"), "ca").join(to("cb"), "cb").filter("ca_new != cb_new").select("a", "b", "weight", F.least("ca_new", "cb_new").alias("ca"), F.greatest("ca_new", "cb_new").alias("cb"))
+        live = checkpointed(moved.groupBy("ca", "cb").agg(F.min(edge).alias("e")).select("e.a", "e.b", "e.weight", "ca", "cb"))
+    return forest
+
+
+def pointer_roots(up: DataFrame) -> DataFrame:
+    """(c, up) with ``up`` the root of c: what points to itself, by pointer doubling."""
+    up = checkpointed(up)
+    while True:
+        above = up.select(C("c").alias("up"), C("up").alias("above"))
+        new = checkpointed(up.join(above, "up").select("c", C("above").alias("up"), (C("above") != C("up")).alias("moved")))
+        if not new.filter("moved").take(1):
+            return new.select("c", "up")
+        up = new.select("c", "up")
+
+
 def _state(labels: DataFrame) -> tuple:
     """What tells one assignment of labels from another: one row."""
     return tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")), F.sum(F.xxhash64("label", "node").cast("decimal(38,0)"))).first())
@@ -45,7 +159,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints")
     return df.checkpoint()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pmx.functions import d, ratio, rnd
-from pmx.operators.bandjoin import band_join
-from pmx.operators.graph import label_propagation
+from pmx.operators.graph import checkpointed, label_propagation, louvain
+from pmx.operators.ranges import range_sums
 from pmx.operators.tokens import token_resolution
 from pmx.registry import register
 from pmx.views import oracle, p_markets, p_trades
@@ -160,34 +162,104 @@ def t7_clusters(spark, sf_dir):
     return label_propagation(projection(spark, sf_dir).select("a", "b", C("interaction_count").alias("weight")))
 
 
+@register("t7_communities")
+def t7_communities(spark, sf_dir):
+    """Communities of the projected graph by modularity (node, label)."""
+    return communities(spark, sf_dir)
+
+
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return louvain(projection(spark, sf_dir).select("a", "b", C("interaction_count").alias("weight")))
+
+
 def proxy_cluster(address):
     """A cluster that SQL can name too: the last digit of the address."""
     return F.substring(address, -1, 1)
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir).select("address", "token_id", "direction", "block_number", proxy_cluster("address").alias("cluster"))
-    return e.groupBy("address", "token_id", "direction", "block_number", "cluster").agg(F.count("*").alias("n"))
+def linked_trades(spark: SparkSession, sf_dir: str, clusters: DataFrame | None = None) -> DataFrame:
+    """Trades by address, token, direction and block, with the cluster of the address: of ``clusters`` (node, label), else the proxy."""
+    e = entries(spark, sf_dir).groupBy("address", "token_id", "direction", "block_number").agg(F.count("*").alias("n"))
+    return e.withColumn("cluster", proxy_cluster("address")) if clusters is None else e.join(clusters.select(C("node").alias("address"), C("label").alias("cluster")), "address")
 
 
 _LINKED = "SELECT address, token_id, direction, block_number, RIGHT(address, 1) AS cluster, COUNT(*) AS n FROM e GROUP BY ALL"
 
 
+def coordinated(linked: DataFrame, width: int = 9) -> DataFrame:
+    """Pairs of trades by two addresses of a cluster in the same token and direction, ``width`` blocks apart at most, counted without making them.
+
+    A trade has as many partners as the window around it holds trades, less those of its own address. An address counts on the
+    first side if a larger one is in its window, on the second if a smaller one is: the window's largest and smallest say so.
+    """
+    keys, at = ["cluster", "token_id", "direction"], "block_number"
+    block = linked.groupBy(*keys, at).agg(F.sum("n").alias("n"), F.min("address").alias("lo"), F.max("address").alias("hi"))
+    around = range_sums(block, keys, at, -width, width, {"all": F.sum("n"), "low": F.min("lo"), "high": F.max("hi")}).select(*keys, at, "all", "low", "high")
+    j = range_sums(linked, [*keys, "address"], at, -width, width, {"own": F.sum("n")}).join(around, [*keys, at])
+    first, second = C("high") > C("address"), C("low") < C("address")
+    return j.groupBy(*keys).agg((F.sum(C("n") * (C("all") - C("own"))) / 2).cast("long").alias("pairs"), (F.count_distinct(F.when(first, C("address"))) + F.count_distinct(F.when(second, C("address")))).alias("distinct_addresses"),
+                                F.min(F.when(first, C(at))).alias("first_block"))
+
+
+def follow_ups(linked: DataFrame, width: int = 50) -> DataFrame:
+    """Trades of others of the cluster in the same token within ``width`` blocks after one, with their average lag, counted without pairs."""
+    keys, at = ["cluster", "token_id"], "block_number"
+    one = linked.groupBy(*keys, "address", at).agg(F.sum("n").alias("n"))
+    block = one.groupBy(*keys, at).agg(F.sum("n").alias("n"))
+    names = lambda p: {f"{p}_n": F.sum("n"), f"{p}_b": F.sum(C("n") * C(at))}
+    after = lambda p: [F.coalesce(C(c), F.lit(0)).alias(c) for c in names(p)]
+    others = range_sums(block, keys, at, 1, width, names("all")).select(*keys, at, *after("all"))
+    j = range_sums(one, [*keys, "address"], at, 1, width, names("own")).select(*keys, at, "n", *after("own")).join(others, [*keys, at])
+    n, lag = C("all_n") - C("own_n"), (C("all_b") - C("own_b")) - C(at) * (C("all_n") - C("own_n"))
+    return j.groupBy(*keys).agg(F.sum(C("n") * n).alias("follow_ups"), F.sum(C("n") * lag).alias("lags")).filter("follow_ups > 0").select(*keys, "follow_ups", rnd(d(C("lags")) / C("follow_ups")).alias("avg_lag"))
+
+
 @register("t7_sybil", oracle("""SELECT a.cluster, a.token_id, a.direction, CAST(SUM(a.n * b.n) AS BIGINT) AS pairs, COUNT(DISTINCT a.address) + COUNT(DISTINCT b.address) AS distinct_addresses, MIN(a.block_number) AS first_block FROM l a JOIN l b ON a.cluster = b.cluster AND a.token_id = b.token_id AND a.direction = b.direction AND a.address < b.address AND ABS(a.block_number - b.block_number) < 10
   GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT a.address) + COUNT(DISTINCT b.address) >= 2""", e=ENTRIES, l=_LINKED))
 def t7_sybil(spark, sf_dir):
     """Trades of one cluster in the same token and direction within 10 blocks. Addresses count once on each side, as by parity."""
-    x = _linked(spark, sf_dir)
-    j = band_join(x, x, ["cluster", "token_id", "direction"], "block_number", 9, C("l_address") < C("r_address"))
-    return j.groupBy(C("l_cluster").alias("cluster"), C("l_token_id").alias("token_id"), C("l_direction").alias("direction")).agg(
-        F.sum(C("l_n") * C("r_n")).alias("pairs"), (F.count_distinct("l_address") + F.count_distinct("r_address")).alias("distinct_addresses"), F.min("l_block_number").alias("first_block")).filter("distinct_addresses >= 2")
+    return coordinated(linked_trades(spark, sf_dir)).filter("distinct_addresses >= 2")
+
+
+@register("t7_community_sybils")
+def t7_community_sybils(spark, sf_dir):
+    """The same within communities, of three sides or more, as the reference keeps them."""
+    return coordinated(linked_trades(spark, sf_dir, checkpointed(communities(spark, sf_dir)))).filter("distinct_addresses >= 3")
 
 
 @register("t7_cascade", oracle("""SELECT a.cluster, a.token_id, CAST(SUM(a.n * b.n) AS BIGINT) AS follow_ups, ROUND(CAST(SUM(a.n * b.n * (b.block_number - a.block_number)) AS DOUBLE) / SUM(a.n * b.n), 6) AS avg_lag FROM l a JOIN l b ON a.cluster = b.cluster AND a.token_id = b.token_id AND a.address <> b.address
   AND b.block_number > a.block_number AND b.block_number <= a.block_number + 50 GROUP BY 1, 2""", e=ENTRIES, l=_LINKED))
 def t7_cascade(spark, sf_dir):
     """Trades of others of the cluster within 50 blocks after one."""
-    x = _linked(spark, sf_dir)
-    j = band_join(x, x, ["cluster", "token_id"], "block_number", 50, (C("l_address") != C("r_address")) & (C("r_block_number") > C("l_block_number")))
-    n = C("l_n") * C("r_n")
-    return j.groupBy(C("l_cluster").alias("cluster"), C("l_token_id").alias("token_id")).agg(F.sum(n).alias("follow_ups"), rnd(ratio(F.sum(n * (C("r_block_number") - C("l_block_number"))), F.sum(n))).alias("avg_lag"))
+    return follow_ups(linked_trades(spark, sf_dir))
+
+
+@register("t7_community_cascades")
+def t7_community_cascades(spark, sf_dir, top: int = 100):
+    """The same within the ``top`` communities by members."""
+    c = checkpointed(communities(spark, sf_dir))
+    best = c.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(top).select("label")
+    return follow_ups(linked_trades(spark, sf_dir, c.join(best, "label", "left_semi")))
+
+
+def cluster_performance(summary: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Members, average win rate, trades and profit of each cluster (node, label) over a summary of addresses."""
+    s = summary.join(clusters.select(C("node").alias("address"), C("label").alias("cluster")), "address")
+    return s.groupBy("cluster").agg(F.count("*").alias("members"), rnd(F.avg("win_rate")).alias("avg_win_rate"), F.sum("total_trades").alias("trades"), rnd(F.avg("pnl"), 3).alias("avg_pnl"), rnd(F.sum("hhi"), 4).alias("concentration"))
+
+
+_SUMMARY = re.sub(r"\s+", " ", """SELECT address, SUM(trades) AS total_trades, ROUND(SUM(CASE WHEN won IS NOT NULL THEN (CASE WHEN won THEN position ELSE 0 END) - cost END), 3) AS pnl,
+  ROUND(CAST(COUNT(*) FILTER (WHERE won IS NOT NULL AND cost <> 0 AND (CASE WHEN won THEN position ELSE 0 END) - cost > 0) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE won IS NOT NULL AND cost <> 0), 0), 6) AS win_rate,
+  ROUND(SUM(CASE WHEN tot > 0 THEN (ABS(cost) / tot) * (ABS(cost) / tot) END), 6) AS hhi FROM (SELECT f.*, t.won, SUM(ABS(cost)) OVER (PARTITION BY address) AS tot FROM f LEFT JOIN t ON f.token_id = t.token_id) GROUP BY address""")
+
+
+@register("t7_performance", oracle("""SELECT RIGHT(address, 1) AS cluster, COUNT(*) AS members, ROUND(AVG(win_rate), 6) AS avg_win_rate, CAST(SUM(total_trades) AS BIGINT) AS trades, ROUND(AVG(pnl), 3) AS avg_pnl, ROUND(SUM(hhi), 4) AS concentration FROM a GROUP BY 1""",
+    e=ENTRIES, t=TOKENS["lenient"], f="SELECT address, token_id, COUNT(*) AS trades, ROUND(SUM(qty), 4) AS position, ROUND(SUM(cost), 4) AS cost FROM e GROUP BY 1, 2", a=_SUMMARY))
+def t7_performance(spark, sf_dir):
+    s = t3_address_summary(spark, sf_dir)
+    return cluster_performance(s, s.select(C("address").alias("node"), proxy_cluster("address").alias("label")))
+
+
+@register("t7_community_performance")
+def t7_community_performance(spark, sf_dir):
+    return cluster_performance(t3_address_summary(spark, sf_dir), communities(spark, sf_dir))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pmx.functions import d, rnd
-from pmx.operators.graph import label_propagation
+from pmx.operators.density import density_clusters
+from pmx.operators.graph import checkpointed, label_propagation
+from pmx.operators.vectors import approximate_pairs, compared, fit_cells, hashed_tfidf, index_blocks, moments, near_pairs, principal_components, project
 from pmx.registry import register
 from pmx.views import oracle, p_markets, raw
 
@@ -74,17 +76,17 @@ def exact_pairs(vectors: DataFrame, cosine: float, block: int = 4096) -> DataFra
     blocks = max(1, -(-n // block))
     keyed = vectors.withColumn("_k", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
 
-    side = keyed.groupBy("_k").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))  # a block each, of bounded size
-    a, b = side.select(C("_k").alias("ka"), C("v").alias("va")), side.select(C("_k").alias("kb"), C("v").alias("vb"))
+    side = keyed.groupBy("_k").agg(F.collect_list(F.struct("vec_id", C("embedding").cast("array<double>").alias("x"))).alias("v"))  # a block each, of bounded size
+    side = side.select("_k", F.transform("v", lambda r: r["vec_id"]).alias("i"), F.flatten(F.transform("v", lambda r: r["x"])).alias("x"))
+    a, b = side.select(C("_k").alias("ka"), C("i").alias("ia"), C("x").alias("xa")), side.select(C("_k").alias("kb"), C("i").alias("ib"), C("x").alias("xb"))
     grid = spark_range(vectors, blocks)
 
     def multiply(it):
         for batch in it:
             for i in range(batch.num_rows):
-                va, vb = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                same = batch.column(2)[i].as_py()
-                ia, ib = np.array([x["vec_id"] for x in va]), np.array([x["vec_id"] for x in vb])
-                xa, xb = (np.array([x["embedding"] for x in v], np.float64) for v in (va, vb))
+                (ia, ib), (xa, xb) = ([batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in pair] for pair in ((0, 2), (1, 3)))
+                same = batch.column(4)[i].as_py()
+                xa, xb = (x.reshape(len(k), -1) for x, k in ((xa, ia), (xb, ib)))
                 xa, xb = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (xa, xb))
                 s = xa @ xb.T
                 r, q = np.nonzero(s >= cosine)
@@ -92,7 +94,7 @@ def exact_pairs(vectors: DataFrame, cosine: float, block: int = 4096) -> DataFra
                 r, q = r[ok], q[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[q])), pa.array(np.maximum(ia[r], ib[q])), pa.array(s[r, q])], names=["a", "b", "cosine"])
 
-    return grid.join(a, "ka").join(b, "kb").select("va", "vb", (C("ka") == C("kb")).alias("same")).mapInArrow(multiply, "a long, b long, cosine double")
+    return grid.join(a, "ka").join(b, "kb").select("ia", "xa", "ib", "xb", (C("ka") == C("kb")).alias("same")).mapInArrow(multiply, "a long, b long, cosine double")
 
 
 def spark_range(df: DataFrame, blocks: int) -> DataFrame:
@@ -110,23 +112,83 @@ def t9a_pairs_exact(spark, sf_dir):
 
 @register("t9a_pairs_lsh")
 def t9a_pairs_lsh(spark, sf_dir):
-    """The same by random projections of unit vectors: cos c is the distance sqrt(2 - 2c)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    """The same by an inverted file. These vectors point everywhere alike, so their pairs of .3 are no neighbours to a cell, and most cells have to be probed; titles (below) are the case it is made for."""
+    return approximate_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", 0.3, probes=NOISE_PROBES, cells=NOISE_CELLS)
 
-    v = _vectors(spark, sf_dir).select("vec_id", array_to_vector(C("embedding").cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="unit").transform(v).select("vec_id", "unit")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=6, seed=5).fit(unit)
-    near = model.approxSimilarityJoin(unit, unit, float(np.sqrt(2 - 2 * 0.3)), "distance")
-    return near.select(C("datasetA.vec_id").alias("a"), C("datasetB.vec_id").alias("b"), (1 - C("distance") * C("distance") / 2).alias("cosine")).filter("a < b")
+
+#: Of so many cells, so many are probed where vectors are noise.
+NOISE_CELLS, NOISE_PROBES = 24, 16
+#: Title vectors: words are hashed to so many buckets, the vectors reduced to so many dimensions; pairs of titles have this cosine.
+TITLE_BUCKETS, TITLE_DIMS, TITLE_COSINE, TITLE_PROBES = 1024, 50, 0.8, 2
+
+
+@register("t9a_covariance", oracle("SELECT i, j, ROUND(AVG(x * y) - AVG(x) * AVG(y), 9) AS cov FROM (SELECT i, CAST(embedding[i] AS DOUBLE) AS x, j, CAST(embedding[j] AS DOUBLE) AS y FROM embeddings, range(1, 65) AS r(i), range(1, 65) AS s(j)) GROUP BY i, j"))
+def t9a_covariance(spark, sf_dir):
+    """The covariance of the vectors, from partition sums."""
+    _, _, cov = moments(_vectors(spark, sf_dir), "embedding")
+    return spark.createDataFrame([(i + 1, j + 1, float(x)) for i, row in enumerate(cov) for j, x in enumerate(row)], "i long, j long, cov double").select("i", "j", rnd(C("cov"), 9).alias("cov"))
+
+
+def title_words(text):
+    """Lower-case words of a title, all of them, repeats too."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def title_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vector): hashed TF-IDF of the markets' titles on its principal components, of length one."""
+    m = p_markets(spark, sf_dir).select(C("id").cast("long").alias("id"), title_words(C("question")).alias("words"))
+    v = checkpointed(hashed_tfidf(m, "id", "words", TITLE_BUCKETS))
+    mean, parts, _ = principal_components(v, "vector", TITLE_DIMS)
+    return project(v, "id", "vector", mean, parts)
+
+
+@register("t9a_title_vectors")
+def t9a_title_vectors(spark, sf_dir):
+    return title_vectors(spark, sf_dir)
+
+
+@register("t9a_title_pairs")
+def t9a_title_pairs(spark, sf_dir):
+    """Pairs of titles of high cosine, by the inverted file."""
+    return approximate_pairs(checkpointed(title_vectors(spark, sf_dir)), "id", "vector", TITLE_COSINE, TITLE_PROBES)
+
+
+@register("t9a_index_recall")
+def t9a_index_recall(spark, sf_dir):
+    """One row: the index's recall of the exact pairs of titles, and which share of all pairs it compares."""
+    v = checkpointed(title_vectors(spark, sf_dir))
+    blocks = index_blocks(v, "id", "vector", fit_cells(v, "id", "vector"), TITLE_PROBES)
+    found = near_pairs(blocks, TITLE_COSINE).select("a", "b").distinct().withColumn("hit", F.lit(1))
+    exact = exact_pairs(v.select(C("id").alias("vec_id"), C("vector").alias("embedding")), TITLE_COSINE)
+    n = v.agg(F.count("*").alias("rows"))
+    hits = exact.join(found, ["a", "b"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+    share = C("compared") / (C("rows") * (C("rows") - 1) / 2)
+    return hits.crossJoin(F.broadcast(compared(blocks))).crossJoin(F.broadcast(n)).select("rows", "pairs", "found", "compared", (C("found") / C("pairs")).alias("recall"), share.alias("share"))
 
 
 @register("t9a_clusters")
 def t9a_clusters(spark, sf_dir):
-    """Communities of the graph of pairs with cosine of .3 or more (in place of density clusters; the test vectors are far apart)."""
+    """Communities of the graph of pairs with cosine of .3 or more."""
     return label_propagation(exact_pairs(_vectors(spark, sf_dir), 0.3).select("a", "b", C("cosine").alias("weight")))
 
 
+def by_distance(pairs: DataFrame) -> DataFrame:
+    """Pairs with the distance of unit vectors in place of the cosine."""
+    return pairs.select("a", "b", F.sqrt(F.greatest(2 - 2 * C("cosine"), F.lit(0.0))).alias("distance"))
+
+
+@register("t9a_density")
+def t9a_density(spark, sf_dir):
+    """Density clusters of the vectors over their pairs of .3 and more (node, cluster; null is noise)."""
+    return density_clusters(by_distance(exact_pairs(_vectors(spark, sf_dir), 0.3)), beyond=float(np.sqrt(2 - 2 * 0.3)))
+
+
+@register("t9a_title_clusters")
+def t9a_title_clusters(spark, sf_dir):
+    """Density clusters of the titles over the pairs that the index finds."""
+    return density_clusters(by_distance(t9a_title_pairs(spark, sf_dir)), beyond=float(np.sqrt(2 - 2 * TITLE_COSINE)))
+
+
 RELATIONS = ["equivalent", "implies", "implied_by", "exclusive", "correlated", "unrelated"]
 
 
