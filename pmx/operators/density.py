@@ -113,7 +113,7 @@ def density_clusters(pairs: DataFrame, smallest: int = 5, samples: int = 5, beyo
             of = now.select(C("node").alias(side), C("comp").alias(f"{side}_comp"))
             with_state = state.select(*[C(c).alias(f"{side}_{c}") for c in state.columns])
             part = part.join(of, side).join(with_state, f"{side}_comp")
-        done = checkpointed(part.groupBy(F.lit(block).alias("block")).applyInPandas(lambda _, x, f=_merge(smallest): f(x), _OUT))
+        done = checkpointed(part.groupBy(F.lit(block).alias("block")).applyInPandas(_merge(smallest), _OUT))
         comp = done.filter("kind = 'comp'")
         keep = ["size", "cluster", "mass", "below", "members"]
         state = checkpointed(state.join(comp.select(C("id").alias("comp")), "comp", "left_anti").unionByName(comp.filter("id = target").select(C("id").alias("comp"), *keep)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 C = F.col
@@ -152,14 +154,30 @@ def _state(labels: DataFrame) -> tuple:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names, with its lineage cut.
+    """``df`` written as a table into the shared folder that the session names (``spark.checkpoint.dir``) and read back: lineage and plan start anew.
 
-    A folder of its own is used only on a single machine (tests); a cluster has to name one.
+    A checkpoint of its own kind would carry the constraints of the plan on, which grow from round to round. A folder of
+    its own is used only on a single machine (tests); a cluster has to name one. Tables go when the driver ends.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints")
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/pmx-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _written:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone already
+            return
