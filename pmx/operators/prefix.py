@@ -27,3 +27,29 @@ def running_total(df: DataFrame, bucket: Column, order: list[str], value: str) -
     cum = C("_offset") + C("_in")
     peak = F.greatest(C("_offset") + C("_top"), F.coalesce("_before", C("_offset") + C("_top")))
     return x.join(b, "_b").select(*df.columns, cum.alias("cum"), peak.alias("peak"), (cum - peak).alias("drawdown"))
+
+
+def segmented(df: DataFrame, keys: list[str], segment: Column, order: list[str], sums: dict[str, Column] | None = None, count: str | None = None,
+              lags: dict[str, Column] | None = None, leads: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums, a running count, values of the row before and of the row after, of each key in order, for keys of any number of rows.
+
+    ``segment`` must follow the order (say, its day). Windows stay inside (keys, segment), which is how rows are dealt, so a hot key is many tasks' work; one row a
+    segment, with its sums, its first and its last values, meets those of the same key in a second window, and is joined back.
+    """
+    sums, lags, leads = sums or {}, lags or {}, leads or {}
+    x = df.withColumn("_s", segment)
+    w = W.partitionBy(*keys, "_s").orderBy(*order)
+    up = w.rowsBetween(W.unboundedPreceding, 0)
+    x = x.select("*", F.row_number().over(w).cast("long").alias("_n"), F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"), *[F.sum(c).over(up).alias(f"_sum_{k}") for k, c in sums.items()],
+                 *[F.lag(c).over(w).alias(f"_lag_{k}") for k, c in lags.items()], *[F.lead(c).over(w).alias(f"_lead_{k}") for k, c in leads.items()])
+    place = F.struct(*order)
+    part = x.groupBy(*keys, "_s").agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()],
+                                      *[F.max_by(c, place).alias(f"_last_{k}") for k, c in lags.items()], *[F.min_by(c, place).alias(f"_first_{k}") for k, c in leads.items()])
+    by = W.partitionBy(*keys).orderBy("_s")
+    past = by.rowsBetween(W.unboundedPreceding, -1)
+    part = part.select(*keys, "_s", F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_before"), *[F.sum(f"_t_{k}").over(past).alias(f"_off_{k}") for k in sums],
+                       *[F.lag(f"_last_{k}").over(by).alias(f"_prev_{k}") for k in lags], *[F.lead(f"_first_{k}").over(by).alias(f"_next_{k}") for k in leads])
+    j = x.join(part, [*keys, "_s"])
+    total = lambda k: F.when(C(f"_sum_{k}").isNull(), C(f"_off_{k}")).when(C(f"_off_{k}").isNull(), C(f"_sum_{k}")).otherwise(C(f"_off_{k}") + C(f"_sum_{k}"))
+    return j.select(*df.columns, *[total(k).alias(k) for k in sums], *([(C("_before") + C("_n")).alias(count)] if count else []),
+                    *[F.when(C("_n") == 1, C(f"_prev_{k}")).otherwise(C(f"_lag_{k}")).alias(k) for k in lags], *[F.when(C("_n") == C("_all"), C(f"_next_{k}")).otherwise(C(f"_lead_{k}")).alias(k) for k in leads])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pmx.functions import d, ratio, rnd
 from pmx.operators.graph import checkpointed, label_propagation, louvain
+from pmx.operators.prefix import segmented
+from pmx.operators.quantiles import exact_quantiles
 from pmx.operators.ranges import range_sums
 from pmx.operators.tokens import token_resolution
 from pmx.registry import register
@@ -46,10 +48,10 @@ _ORDER = ["block_number", "log_index", "l_partkey", "l_suppkey", "qty", "cost"]
 
 @register("t3_ledger", oracle(f"""SELECT address, token_id, block_number, log_index, qty, ROUND(cost, 4) AS cost, ROUND(SUM(qty) OVER w, 4) AS position, ROUND(SUM(cost) OVER w, 4) AS cost_basis, ROUND(SUM(GREATEST(qty, 0)) OVER w, 4) AS bought, SUBSTRING(LOWER(address), 1, 3) AS address_prefix
   FROM e WINDOW w AS (PARTITION BY address, token_id ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING)""", e=ENTRIES))
-def t3_ledger(spark, sf_dir):
-    w = W.partitionBy("address", "token_id").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, 0)
-    return entries(spark, sf_dir).select("address", "token_id", "block_number", "log_index", "qty", rnd(C("cost"), 4).alias("cost"), rnd(F.sum("qty").over(w), 4).alias("position"), rnd(F.sum("cost").over(w), 4).alias("cost_basis"),
-                                        rnd(F.sum(F.greatest("qty", F.lit(0.0))).over(w), 4).alias("bought"), F.substring(F.lower("address"), 1, 3).alias("address_prefix"))
+def t3_ledger(spark, sf_dir, blocks: int = 64):
+    """Running position and cost of each address in each token; ranges of ``blocks`` blocks are summed by themselves first, so an address of any number of trades is many tasks' work."""
+    e = segmented(entries(spark, sf_dir), ["address", "token_id"], F.floor(C("block_number") / blocks), _ORDER, {"position": C("qty"), "cost_basis": C("cost"), "bought": F.greatest("qty", F.lit(0.0))})
+    return e.select("address", "token_id", "block_number", "log_index", "qty", *[rnd(C(c), 4).alias(c) for c in ("cost", "position", "cost_basis", "bought")], F.substring(F.lower("address"), 1, 3).alias("address_prefix"))
 
 
 @register("t3_address_summary", oracle("""SELECT address, CAST(SUM(trades) AS BIGINT) AS total_trades, COUNT(DISTINCT token_id) AS tokens, CAST(SUM(days) AS BIGINT) AS active_days, ROUND(SUM(CASE WHEN won IS NOT NULL THEN (CASE WHEN won THEN position ELSE 0 END) - cost END), 3) AS pnl,
@@ -77,14 +79,19 @@ def buyer_stats(spark: SparkSession, sf_dir: str, *keys) -> DataFrame:
 BUYERS = """SELECT address, COUNT(*) AS n, AVG(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS win_rate, AVG(cost / qty) AS avg_price, AVG(CASE WHEN won THEN 1.0 ELSE 0.0 END - cost / qty) AS excess, SUM(cost) AS volume FROM e JOIN t ON e.token_id = t.token_id WHERE direction = 'buy' AND resolved GROUP BY address"""
 
 
+def cuts(df: DataFrame, column: str, *qs: float) -> list:
+    """Exact quantiles of a column as literals; null, which nothing reaches, where there is no row."""
+    return [F.lit(x) for x in exact_quantiles(df, column, list(qs)).get(None, [None] * len(qs))]
+
+
 @register("smart_money", oracle("""SELECT tier, COUNT(*) AS addresses, ROUND(AVG(win_rate), 6) AS win_rate, ROUND(AVG(excess), 6) AS excess FROM (SELECT *, CASE WHEN x >= q90 THEN 'top' WHEN x >= q50 THEN 'mid' ELSE 'low' END AS tier FROM (SELECT *, ROUND(excess, 6) AS x FROM s WHERE n >= 10)
   CROSS JOIN (SELECT QUANTILE_CONT(ROUND(excess, 6), 0.9) AS q90, QUANTILE_CONT(ROUND(excess, 6), 0.5) AS q50 FROM s WHERE n >= 10)) GROUP BY tier""", e=ENTRIES, t=TOKENS["lenient"], s=BUYERS))
 def smart_money(spark, sf_dir):
     """Tiers of addresses by quantiles of their excess return."""
-    s = buyer_stats(spark, sf_dir).filter("n >= 10").withColumn("x", rnd(C("excess")))
-    q = s.agg(F.percentile("x", F.lit(0.9)).alias("q90"), F.percentile("x", F.lit(0.5)).alias("q50"))  # one row
-    tier = F.when(C("x") >= C("q90"), "top").when(C("x") >= C("q50"), "mid").otherwise("low")
-    return s.crossJoin(F.broadcast(q)).groupBy(tier.alias("tier")).agg(F.count("*").alias("addresses"), rnd(F.avg("win_rate")).alias("win_rate"), rnd(F.avg("excess")).alias("excess"))
+    s = checkpointed(buyer_stats(spark, sf_dir).filter("n >= 10").withColumn("x", rnd(C("excess"))))
+    q90, q50 = cuts(s, "x", 0.9, 0.5)
+    tier = F.when(C("x") >= q90, "top").when(C("x") >= q50, "mid").otherwise("low")
+    return s.groupBy(tier.alias("tier")).agg(F.count("*").alias("addresses"), rnd(F.avg("win_rate")).alias("win_rate"), rnd(F.avg("excess")).alias("excess"))
 
 
 @register("smart_money_persistence", oracle("""SELECT COUNT(*) AS addresses, ROUND(CORR(a.x, b.x), 6) AS correlation, ROUND(AVG(CASE WHEN a.x > 0 AND b.x > 0 THEN 1.0 WHEN a.x > 0 THEN 0.0 END), 6) AS kept_positive FROM (SELECT * FROM h WHERE half = 1) a JOIN (SELECT * FROM h WHERE half = 2) b ON a.address = b.address""",
@@ -103,11 +110,12 @@ def smart_money_persistence(spark, sf_dir, split: int = 1250):
 def whale_buckets(spark, sf_dir):
     """Purchases by size quantile and price, with a normal confidence half-width."""
     r = entries(spark, sf_dir).filter("direction = 'buy'").join(token_resolution(p_markets(spark, sf_dir), "nary").select("token_id", "won"), "token_id").select(rnd(C("cost")).alias("cost"), "qty", F.when(C("won"), 1.0).otherwise(0.0).alias("w"))
-    q = r.agg(F.percentile("cost", F.lit(0.99)).alias("q99"), F.percentile("cost", F.lit(0.9)).alias("q90"))  # one row
-    size = F.when(C("cost") >= C("q99"), "whale").when(C("cost") >= C("q90"), "large").otherwise("small")
+    r = checkpointed(r)
+    q99, q90 = cuts(r, "cost", 0.99, 0.9)
+    size = F.when(C("cost") >= q99, "whale").when(C("cost") >= q90, "large").otherwise("small")
     p = C("cost") / C("qty")
     zone = F.when(p < 0.03, "low").when(p < 0.07, "mid").otherwise("high")
-    return r.crossJoin(F.broadcast(q)).groupBy(size.alias("size"), zone.alias("zone")).agg(F.count("*").alias("n"), rnd(F.avg("w")).alias("win_rate"), rnd(F.lit(1.96) * F.sqrt(F.var_pop("w") / F.count("*"))).alias("ci"))
+    return r.groupBy(size.alias("size"), zone.alias("zone")).agg(F.count("*").alias("n"), rnd(F.avg("w")).alias("win_rate"), rnd(F.lit(1.96) * F.sqrt(F.var_pop("w") / F.count("*"))).alias("ci"))
 
 
 @register("address_archetypes", oracle("""SELECT archetype, COUNT(*) AS addresses, ROUND(AVG(n), 4) AS avg_trades FROM (SELECT n, CASE WHEN n >= qn AND tokens >= qt THEN 'Bot' WHEN vol >= qv THEN 'Whale' WHEN share BETWEEN 0.4 AND 0.6 AND n >= 100 THEN 'MM' ELSE 'Retail' END AS archetype FROM a
@@ -116,9 +124,10 @@ def whale_buckets(spark, sf_dir):
 def address_archetypes(spark, sf_dir):
     """Retail, overridden in turn by market maker, whale and bot: so the last rule is tested first."""
     a = entries(spark, sf_dir).groupBy("address").agg(F.count("*").alias("n"), F.count_distinct("token_id").alias("tokens"), rnd(F.sum(F.abs("cost")), 4).alias("vol"), F.avg(F.when(C("direction") == "buy", 1.0).otherwise(0.0)).alias("share"))
-    q = a.agg(F.percentile("n", F.lit(0.99)).alias("qn"), F.percentile("tokens", F.lit(0.95)).alias("qt"), F.percentile("vol", F.lit(0.95)).alias("qv"))  # one row
-    kind = F.when((C("n") >= C("qn")) & (C("tokens") >= C("qt")), "Bot").when(C("vol") >= C("qv"), "Whale").when(C("share").between(0.4, 0.6) & (C("n") >= 100), "MM").otherwise("Retail")
-    return a.crossJoin(F.broadcast(q)).groupBy(kind.alias("archetype")).agg(F.count("*").alias("addresses"), rnd(F.avg("n"), 4).alias("avg_trades"))
+    a = checkpointed(a)
+    (qn,), (qt,), (qv,) = cuts(a, "n", 0.99), cuts(a, "tokens", 0.95), cuts(a, "vol", 0.95)
+    kind = F.when((C("n") >= qn) & (C("tokens") >= qt), "Bot").when(C("vol") >= qv, "Whale").when(C("share").between(0.4, 0.6) & (C("n") >= 100), "MM").otherwise("Retail")
+    return a.groupBy(kind.alias("archetype")).agg(F.count("*").alias("addresses"), rnd(F.avg("n"), 4).alias("avg_trades"))
 
 
 @register("contract_types", oracle("""SELECT kind, COUNT(*) AS trades, ROUND(SUM(cost), 2) AS volume, COUNT(DISTINCT CASE WHEN direction = 'buy' THEN address END) AS buyers FROM (SELECT e.*, CASE WHEN t.token_id IS NULL THEN 'open' WHEN t.won IS NULL THEN 'void' ELSE 'settled' END AS kind FROM e LEFT JOIN t ON e.token_id = t.token_id WHERE direction = 'buy') GROUP BY kind""",

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pmx.functions import category, ratio, rnd, seconds_between, signed_count, size_bucket, tte_bucket
+from pmx.operators.prefix import segmented
 from pmx.operators.timegrid import bars, gap_filled
 from pmx.registry import register
 from pmx.views import k_markets, k_trades, oracle, p_markets, p_trades
@@ -16,15 +17,13 @@ PAST = (W.unboundedPreceding, 0)
 
 
 def enrich_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades with their market and running values per ticker, one exchange for all windows."""
+    """Trades with their market and running values per ticker; the days of a ticker are tasks of their own, so a busy one is no hot key."""
     m = k_markets(spark, sf_dir).select("ticker", "event_ticker", "status", "open_time", "close_time")
     t = k_trades(spark, sf_dir).join(m, "ticker", "left").withColumn("norm_price", C("yes_price")).withColumn("signed_flow", signed_count())
-    w = W.partitionBy("ticker").orderBy("created_time", "trade_id")
-    return t.select(
-        "*", F.row_number().over(w).cast("long").alias("trade_sequence_num"), (C("yes_price") - F.lag("yes_price").over(w)).alias("delta_price"),
-        seconds_between(C("created_time"), F.lag("created_time").over(w)).alias("time_since_prev"),
-        F.sum("count").over(w.rowsBetween(*PAST)).alias("cumulative_volume"), F.sum("signed_flow").over(w.rowsBetween(*PAST)).alias("cumulative_net_flow"),
-        F.row_number().over(w).cast("long").alias("cumulative_trade_count"), seconds_between(C("close_time"), C("created_time")).alias("time_to_expiry_seconds"))
+    s = segmented(t, ["ticker"], F.date_trunc("day", "created_time"), ["created_time", "trade_id"], {"cumulative_volume": C("count"), "cumulative_net_flow": C("signed_flow")},
+                  "trade_sequence_num", {"_price": C("yes_price"), "_time": C("created_time")}, {"next_price": C("yes_price")})
+    return s.select(*t.columns, "trade_sequence_num", (C("yes_price") - C("_price")).alias("delta_price"), seconds_between(C("created_time"), C("_time")).alias("time_since_prev"),
+                    "cumulative_volume", "cumulative_net_flow", C("trade_sequence_num").alias("cumulative_trade_count"), seconds_between(C("close_time"), C("created_time")).alias("time_to_expiry_seconds"), "next_price")
 
 
 #: The enriched trades in the oracle.
@@ -153,9 +152,8 @@ _OFI = "CASE WHEN o < -0.6 THEN 1 WHEN o < -0.2 THEN 2 WHEN o < -0.05 THEN 3 WHE
 
 @register("t1a_signal_ofi", oracle(f"""SELECT {_OFI} AS bucket, COUNT(*) AS n, ROUND(AVG(fwd), 6) AS mean, ROUND(STDDEV_SAMP(fwd), 6) AS sd FROM (SELECT CAST(cumflow AS DOUBLE) / NULLIF(cumvol, 0) AS o, LEAD(yes_price) OVER (PARTITION BY ticker ORDER BY seq) - yes_price AS fwd FROM ek WHERE seq >= 5) WHERE fwd IS NOT NULL GROUP BY 1""", ek=EK))
 def t1a_signal_ofi(spark, sf_dir):
-    """Forward return by flow imbalance; the lead sees the kept trades only."""
-    w = W.partitionBy("ticker").orderBy("trade_sequence_num")
-    e = enrich_k(spark, sf_dir).filter("trade_sequence_num >= 5").select(ratio(C("cumulative_net_flow"), C("cumulative_volume")).alias("o"), (F.lead("yes_price").over(w) - C("yes_price")).alias("fwd"))
+    """Forward return by flow imbalance; only first trades are dropped, so the next kept trade is the next one."""
+    e = enrich_k(spark, sf_dir).filter("trade_sequence_num >= 5").select(ratio(C("cumulative_net_flow"), C("cumulative_volume")).alias("o"), (C("next_price") - C("yes_price")).alias("fwd"))
     o = C("o")
     b = F.when(o < -0.6, 1).when(o < -0.2, 2).when(o < -0.05, 3).when(o <= 0.05, 4).when(o <= 0.2, 5).when(o <= 0.6, 6).otherwise(7)
     return e.filter("fwd IS NOT NULL").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), rnd(F.avg("fwd")).alias("mean"), rnd(F.stddev_samp("fwd")).alias("sd"))
@@ -165,7 +163,7 @@ def t1a_signal_ofi(spark, sf_dir):
 def t1a_signal_burst(spark, sf_dir):
     """Bursts: four of the last five gaps are short (an hour, in the sparse test data)."""
     w = W.partitionBy("ticker").orderBy("trade_sequence_num")
-    e = enrich_k(spark, sf_dir).select((F.lead("yes_price").over(w) - C("yes_price")).alias("fwd"), (F.sum(F.when(C("time_since_prev") < 3600, 1).otherwise(0)).over(w.rowsBetween(-4, 0)) >= 4).alias("burst"))
+    e = enrich_k(spark, sf_dir).select((C("next_price") - C("yes_price")).alias("fwd"), (F.sum(F.when(C("time_since_prev") < 3600, 1).otherwise(0)).over(w.rowsBetween(-4, 0)) >= 4).alias("burst"))
     return e.filter("fwd IS NOT NULL").groupBy("burst").agg(F.count("*").alias("n"), rnd(F.avg(F.abs("fwd"))).alias("mean_abs"))
 
 
@@ -174,7 +172,7 @@ def t1a_signal_burst(spark, sf_dir):
 def t1a_signal_streak(spark, sf_dir):
     """Length of a run of moves in one direction; a first move counts as two."""
     w = W.partitionBy("ticker").orderBy("trade_sequence_num")
-    e = enrich_k(spark, sf_dir).select("ticker", "trade_sequence_num", F.signum("delta_price").alias("s"), (F.lead("yes_price").over(w) - C("yes_price")).alias("fwd")).filter("s <> 0")
+    e = enrich_k(spark, sf_dir).select("ticker", "trade_sequence_num", F.signum("delta_price").alias("s"), (C("next_price") - C("yes_price")).alias("fwd")).filter("s <> 0")
     e = e.select("s", "fwd", *[F.lag("s", k).over(w).alias(f"l{k}") for k in (1, 2, 3)]).filter("fwd IS NOT NULL")
     z = F.lit(0.0)
     streak = F.when(C("s") != C("l1"), 1).when((C("s") != F.coalesce("l2", z)) | C("l1").isNull(), 2).when(C("s") != F.coalesce("l3", z), 3).otherwise(4)
@@ -187,7 +185,7 @@ def t1a_signal_tte(spark, sf_dir):
     w = W.partitionBy("ticker").orderBy("trade_sequence_num")
     tte, o = C("time_to_expiry_seconds"), ratio(C("cumulative_net_flow"), C("cumulative_volume"))
     b = F.when(tte > 604800, ">7d").when(tte > 86400, "1-7d").when(tte > 3600, "1-24h").when(tte > 600, "10-60m").otherwise("<10m")
-    e = enrich_k(spark, sf_dir).select(b.alias("bucket"), F.when(o > 0.2, 1).when(o < -0.2, -1).otherwise(0).alias("signal"), (F.lead("yes_price").over(w) - C("yes_price")).alias("fwd"))
+    e = enrich_k(spark, sf_dir).select(b.alias("bucket"), F.when(o > 0.2, 1).when(o < -0.2, -1).otherwise(0).alias("signal"), (C("next_price") - C("yes_price")).alias("fwd"))
     return e.filter("fwd IS NOT NULL AND signal <> 0").groupBy("bucket", "signal").agg(F.count("*").alias("n"), rnd(F.avg(F.when(C("signal") * C("fwd") > 0, 1.0).otherwise(0.0))).alias("hit_rate"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pmx.functions import d, excess, log_bin, ratio, rnd, size_bucket
+from pmx.operators.graph import checkpointed
 from pmx.operators.positions import positions, resolved_trades
+from pmx.operators.quantiles import exact_quantiles
 from pmx.registry import register
 from pmx.views import k_markets, k_trades, oracle
 
@@ -114,9 +116,10 @@ def win_rate_by_trade_size(spark, sf_dir):
 @register("trade_size_by_role", oracle("""SELECT role, COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(MEDIAN(v), 6) AS median, ROUND(QUANTILE_CONT(v, 0.25), 6) AS p25, ROUND(QUANTILE_CONT(v, 0.75), 6) AS p75, ROUND(QUANTILE_CONT(v, 0.95), 6) AS p95
   FROM (SELECT role, CAST(count * price / 100.0 AS DOUBLE) AS v FROM pos) GROUP BY role"""))
 def trade_size_by_role(spark, sf_dir):
-    v = positions(resolved(spark, sf_dir)).select("role", (d(C("count") * C("price")) / F.lit(100.0)).alias("v"))
-    q = lambda p: rnd(F.percentile("v", F.lit(p)))
-    return v.groupBy("role").agg(F.count("*").alias("n"), rnd(F.avg("v")).alias("mean"), rnd(F.median("v")).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.95).alias("p95"))
+    v = checkpointed(positions(resolved(spark, sf_dir)).select("role", (d(C("count") * C("price")) / F.lit(100.0)).alias("v")))
+    names = ["p25", "median", "p75", "p95"]
+    q = spark.createDataFrame([(r, *x) for r, x in exact_quantiles(v, "v", [0.25, 0.5, 0.75, 0.95], "role").items()], "role string, " + ", ".join(f"{n} double" for n in names))
+    return v.groupBy("role").agg(F.count("*").alias("n"), rnd(F.avg("v")).alias("mean")).join(F.broadcast(q), "role").select("role", "n", "mean", *[rnd(C(n)).alias(n) for n in names])  # a row a role
 
 
 _SIZE = "CASE WHEN count <= 1 THEN '1' WHEN count <= 10 THEN '2-10' WHEN count <= 100 THEN '11-100' WHEN count <= 1000 THEN '101-1K' ELSE '1K+' END"
