@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pmx.functions import cent_bucket, category, d, excess, keyword_group, ratio, rnd
+from pmx.operators.patterns import first_match
 from pmx.operators.positions import positions
 from pmx.plans.prices import cells, resolved
 from pmx.registry import register
 from pmx.stats import normal_two_sided, student_two_sided
-from pmx.views import k_markets, k_trades, oracle
+from pmx.views import k_markets, k_trades, oracle, p_markets, raw
 
 C = F.col
 #: The keyword table of the test markets: (pattern, group), the first match counts. Others may be passed instead.
@@ -46,6 +47,28 @@ def market_types(spark, sf_dir):
     return g.filter("g < 7").crossJoin(F.broadcast(total)).withColumn("level", level).filter((C("level") < 3) | (C("volume") >= F.lit(0.005) * C("total"))).select("level", "grp", "category", "event", "volume", "markets")
 
 
+def part_patterns(spark, sf_dir):
+    """A pattern table of the test tables, most specific first: whole names of every other part, then their nouns, then their adjectives."""
+    p = raw(spark, sf_dir, "part").select("p_partkey", F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("a"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("n"))
+    row = lambda pattern, grp, category, sub: F.struct(pattern.alias("pattern"), F.lit(grp).alias("grp"), category.alias("category"), sub.alias("subcategory"))
+    both = F.array(row(C("n"), "Noun", C("n"), F.lit("Other")), row(C("a"), "Adjective", F.lit("Other"), C("a")))
+    whole = F.array(row(F.concat("a", F.lit(" "), "n"), "Name", C("n"), C("a")))
+    t = p.select(F.inline(F.when(C("p_partkey") % 97 == 0, F.concat(whole, both)).otherwise(both))).distinct()
+    return t.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(F.length("pattern")), "pattern")).cast("long"))  # a row a pattern
+
+
+@register("market_hierarchy", oracle("""SELECT COALESCE(grp, 'Other') AS grp, COALESCE(category, 'Other') AS category, COALESCE(subcategory, 'Other') AS subcategory, COUNT(*) AS markets, ROUND(SUM(volume), 2) AS volume FROM p_markets m
+  LEFT JOIN (SELECT question, MIN(place) AS place FROM (SELECT DISTINCT question FROM p_markets) q JOIN t ON CONTAINS(UPPER(question), pattern) GROUP BY 1) f ON f.question = m.question LEFT JOIN t ON t.place = f.place GROUP BY 1, 2, 3""",
+    w="SELECT p_partkey, UPPER(split_part(p_name, ' ', 1)) AS a, UPPER(split_part(p_name, ' ', 2)) AS n FROM part",
+    t="""SELECT *, ROW_NUMBER() OVER (ORDER BY length(pattern) DESC, pattern) AS place FROM (SELECT n AS pattern, 'Noun' AS grp, n AS category, 'Other' AS subcategory FROM w UNION SELECT a, 'Adjective', 'Other', a FROM w
+      UNION SELECT a || ' ' || n, 'Name', n, a FROM w WHERE p_partkey % 97 = 0)"""))
+def market_hierarchy(spark, sf_dir):
+    """Markets by the first pattern of an ordered table that their title contains: group, category, subcategory."""
+    m = first_match(p_markets(spark, sf_dir).select("question", "volume"), "question", part_patterns(spark, sf_dir))
+    level = lambda c: F.coalesce(c, F.lit("Other")).alias(c)
+    return m.groupBy(level("grp"), level("category"), level("subcategory")).agg(F.count("*").alias("markets"), rnd(F.sum("volume"), 2).alias("volume"))
+
+
 def _miscalibration(*keys):
     def plan(spark, sf_dir):
         r = resolved(spark, sf_dir).select(*(k() for k in keys), cent_bucket(C("tp"), 10).alias("bucket"), "tp", "tw")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pmx.functions import d, excess, rnd
 from pmx.operators.positions import positions
-from pmx.plans.enrichment import FEW_TRADES, qualifying
+from pmx.plans.enrichment import FEW_TRADES, _bars_oracle, qualifying
 from pmx.plans.prices import resolved
-from pmx.plans.surfaces import aligned
+from pmx.plans.surfaces import _PAIRS, _RET, _TOP, pairs, returns
 from pmx.registry import register
 from pmx.views import k_markets, k_trades, oracle
 
@@ -58,22 +58,38 @@ def event_tickers(spark, sf_dir):
     return j.groupBy("event_ticker").agg(F.max_by("ticker", F.struct("n", "ticker")).alias("ticker"), F.max("n").alias("trades"))
 
 
-@register("rolling_xcorr")
-def rolling_xcorr(spark, sf_dir, window: int = 72):
-    """Peak lags over windows of hours, half overlapping: their median, spread and how often the sign agrees."""
-    import numpy as np
-    import pandas as pd
-
-    from pmx.stats import cross_correlation_peak
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("h")
-        a, b = g["ra"].to_numpy(), g["rb"].to_numpy()
-        lags = [cross_correlation_peak(a[i : i + window], b[i : i + window])[0] for i in range(0, max(1, len(a) - window + 1), window // 2)]
-        s = np.sign(lags)
-        return pd.DataFrame({"a": [g["a"].iloc[0]], "b": [g["b"].iloc[0]], "windows": [len(lags)], "median_lag": [float(np.median(lags))], "sd": [float(np.std(lags))], "same_sign": [float(max((s == k).mean() for k in (-1, 0, 1)))]})
-
-    return aligned(spark, sf_dir).groupBy("a", "b").applyInPandas(one, "a string, b string, windows long, median_lag double, sd double, same_sign double")
+#: Bars of a rolling window; windows overlap by half.
+BARS = 288
+_HALF = BARS // 2
+
+
+_SIGNS = ", ".join(f"AVG(CASE WHEN lag {x} 0 THEN 1.0 ELSE 0.0 END)" for x in "><=")
+
+
+@register("rolling_xcorr", oracle(f"""SELECT a, b, COUNT(*) AS windows, ROUND(AVG(lag), 6) AS mean_lag, ROUND(STDDEV_POP(lag), 6) AS sd, ROUND(GREATEST({_SIGNS}), 6) AS same_sign FROM (
+  SELECT q.a, q.b, q.w, ARG_MIN(q.lag, (-ROUND(ABS(q.v) / SQRT(x.s * y.s), 9), q.lag)) AS lag FROM (
+    SELECT a, b, lag, w, SUM(xy) AS v FROM (
+      SELECT p.a, p.b, l.lag, UNNEST(range(GREATEST(x.h // {_HALF}, y.h // {_HALF}) - 1, LEAST(x.h // {_HALF}, y.h // {_HALF}) + 1)) AS w, x.r * y.r AS xy
+      FROM prs p CROSS JOIN (SELECT UNNEST(range(-12, 13)) AS lag) l JOIN rts x ON x.ticker = p.a JOIN rts y ON y.ticker = p.b AND y.h = x.h - l.lag) GROUP BY 1, 2, 3, 4) q
+    JOIN nw x ON x.ticker = q.a AND x.w = q.w JOIN nw y ON y.ticker = q.b AND y.w = q.w GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    f=_bars_oracle("1 hour")["f"], rts=_RET, tops=_TOP, prs=_PAIRS, nw=f"SELECT ticker, UNNEST([h // {_HALF} - 1, h // {_HALF}]) AS w, SUM(r * r) AS s FROM rts GROUP BY 1, 2"))
+def rolling_xcorr(spark, sf_dir):
+    """Peak lags of cross-correlation over windows of 288 hours, half overlapping: their mean, spread and how often the sign agrees.
+
+    Products of changes are summed once for each half window, and a window is two halves: a product counts where both of its hours are in. A pair's windows
+    cost no more than its products, and no group holds a pair's series.
+    """
+    r = returns(spark, sf_dir).withColumn("k", F.floor(C("h") / _HALF))
+    norm = r.select("ticker", F.explode(F.array(C("k") - 1, C("k"))).alias("w"), (C("r") * C("r")).alias("s")).groupBy("ticker", "w").agg(F.sum("s").alias("s"))
+    side = lambda s: r.select(C("ticker").alias(s), *[C(c).alias(f"{c}{s}") for c in "hrk"])
+    p = pairs(spark, sf_dir).select("a", "b").withColumn("lag", F.explode(F.sequence(F.lit(-12), F.lit(12))))
+    j = p.join(side("a"), "a").withColumn("hb", C("ha") - C("lag")).join(side("b"), ["b", "hb"])
+    v = j.select("a", "b", "lag", F.explode(F.sequence(F.greatest("ka", "kb") - 1, F.least("ka", "kb"))).alias("w"), (C("ra") * C("rb")).alias("v")).groupBy("a", "b", "lag", "w").agg(F.sum("v").alias("v"))
+    of = lambda s: norm.select(C("ticker").alias(s), "w", C("s").alias(f"s{s}"))
+    peak = F.min_by("lag", F.struct(-F.round(F.abs("v") / F.sqrt(C("sa") * C("sb")), 9), C("lag"))).alias("lag")
+    best = v.join(of("a"), ["a", "w"]).join(of("b"), ["b", "w"]).groupBy("a", "b", "w").agg(peak)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return best.groupBy("a", "b").agg(F.count("*").alias("windows"), rnd(F.avg("lag")).alias("mean_lag"), rnd(F.stddev_pop("lag")).alias("sd"), rnd(F.greatest(share(C("lag") > 0), share(C("lag") < 0), share(C("lag") == 0))).alias("same_sign"))
 
 
 @register("price_correlation", oracle("SELECT role, ROUND(CORR(price, won), 6) AS pearson, COUNT(*) AS n FROM pos GROUP BY role"))
