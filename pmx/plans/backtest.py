@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pmx.functions import category, cent_bucket, d, fee, ratio, rnd, seconds_between, tte_bucket
+from pmx.operators.distributions import fit_student, kolmogorov, shapiro_sample, student_cdf, value_counts
+from pmx.operators.graph import checkpointed
 from pmx.operators.prefix import running_total
 from pmx.plans.prices import resolved
 from pmx.registry import register
@@ -177,7 +179,20 @@ def bt_distribution(spark, sf_dir):
     return s.select("n", "mean", "sd", rnd(C("s"), 5).alias("skew"), rnd(C("k"), 5).alias("kurtosis"), rnd(jb, 2).alias("jarque_bera"), "p1", "p50", "p99")
 
 
+@register("bt_fits")
+def bt_fits(spark, sf_dir):
+    """Student-t fit of the returns with its distance to them, and the tests for a normal one (W of at most 5,000 trades)."""
+    r = checkpointed(run(fade_longshot(20), spark, sf_dir).select("trade_id", rnd(C("net")).alias("net")))
+    counts = value_counts(r, "net")
+    t, (w, wp) = fit_student(counts), shapiro_sample(r, "net", "trade_id")
+    distance, p = kolmogorov(counts, student_cdf(t["df"], t["loc"], t["scale"])) if t else (None, None)
+    t = t or dict.fromkeys(("df", "loc", "scale"))
+    return spark.createDataFrame([(t["df"], t["loc"], t["scale"], distance, p, w, float(wp))], "df double, loc double, scale double, ks double, ks_p double, shapiro double, shapiro_p double")
+
+
 PATHS, MOST_TRADES = 10_000, 100_000
+#: Different trades (net, contracts, won) that paths draw from, at most: 24 bytes each in every task.
+MOST_KINDS = 4_000_000
 _PATH = {"path": pa.int64(), "total": pa.float64(), "mean": pa.float64(), "max_drawdown": pa.float64(), "longest_loss": pa.int64(), "sharpe": pa.float64(), "win_rate": pa.float64()}
 
 
@@ -186,14 +201,17 @@ def monte_carlo(r: DataFrame, paths: int = PATHS, trades: int | None = None, see
 
     A path draws as many trades as there are, MOST_TRADES at most, unless ``trades`` says otherwise. Total and drawdown
     are of net * contracts, the rest of net, as in the reference; without ``contracts`` a trade is of one, without
-    ``won`` it is won if net is above 0. Trades take few values (price, outcome and contracts), so their counts
+    ``won`` it is won if net is above 0. Counts of equal trades (price, outcome and contracts; MOST_KINDS at most, else an error)
     are drawn from, not the rows; each path has a generator of its own, so results do not depend on the partitions.
     """
     spark = r.sparkSession
     size = d("contracts") if "contracts" in r.columns else F.lit(1.0)
     won = d(C("won").cast("int")) if "won" in r.columns else F.when(C("net") > 0, 1.0).otherwise(0.0)
     kinds = r.groupBy(rnd(C("net")).alias("net"), size.alias("contracts"), won.alias("won")).agg(F.count("*").alias("n"))
-    counts = np.array(sorted((float(x["net"]), x["contracts"], x["won"], x["n"]) for x in kinds.collect())).reshape(-1, 4)
+    rows = kinds.limit(MOST_KINDS + 1).toPandas().sort_values(["net", "contracts", "won"])
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of trades: bin contracts before the bootstrap")
+    counts = rows[["net", "contracts", "won", "n"]].to_numpy(float).reshape(-1, 4)
     upto = np.cumsum(counts[:, 3].astype(np.int64))
     n = int(upto[-1]) if len(upto) else 0
     length = trades or min(n, MOST_TRADES)

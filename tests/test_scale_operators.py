@@ -158,3 +158,47 @@ def test_titles_index_recall(spark, sf):
 
     row = registry.queries()["t9a_index_recall"](spark, sf).first()
     assert row["pairs"] > 0 and row["recall"] >= 0.9
+
+
+def test_student_fit_is_the_greatest_likelihood(spark):
+    from math import lgamma, log, pi
+
+    from pmx.operators.distributions import fit_student, kolmogorov, student_cdf, value_counts
+    from pmx.stats import beta_fraction
+
+    r = np.random.default_rng(8)
+    x = np.round(1.5 + 2 * r.standard_t(4, 4000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    counts = value_counts(df, "v")
+    t = fit_student(counts)
+
+    def like(d, m, s):
+        z = (x - m) / s
+        return len(x) * (lgamma((d + 1) / 2) - lgamma(d / 2) - 0.5 * log(d * pi) - log(s)) - (d + 1) / 2 * np.log1p(z * z / d).sum()
+
+    top = like(t["df"], t["loc"], t["scale"])
+    assert t["log_likelihood"] == pytest.approx(top)
+    h = 1e-4
+    for k, v in (("df", t["df"]), ("loc", 1.0), ("scale", t["scale"])):
+        up, down = (like(*({**{c: t[c] for c in ("df", "loc", "scale")}, k: t[k] + s * h * v}.values())) for s in (1, -1))
+        assert abs((up - down) / (2 * h)) < 1e-3 and up < top and down < top  # no slope, and a top
+    assert 3 < t["df"] < 5.5 and abs(t["loc"] - 1.5) < 0.2 and abs(t["scale"] - 2) < 0.2
+    d, p = kolmogorov(counts, student_cdf(t["df"], t["loc"], t["scale"]))
+    s = np.sort(x)
+    z = (s - t["loc"]) / t["scale"]
+    tail = np.array([0.5 * beta_fraction(t["df"] / 2, 0.5, t["df"] / (t["df"] + v * v)) for v in z])
+    f = np.where(z > 0, 1 - tail, tail)
+    share = np.searchsorted(s, s, "right") / len(s), np.searchsorted(s, s, "left") / len(s)
+    assert d == pytest.approx(max(np.abs(share[0] - f).max(), np.abs(share[1] - f).max())) and p > 0.2
+    assert fit_student(value_counts(df.filter("v > 1e9"), "v")) is None
+
+
+def test_shapiro_wilk():
+    from pmx.operators.distributions import shapiro_wilk
+
+    w, p = shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])  # a published example
+    assert w == pytest.approx(0.7888, abs=2e-4) and p == pytest.approx(0.0067, abs=2e-4)
+    r = np.random.default_rng(9)
+    ps = [shapiro_wilk(r.normal(size=200))[1] for _ in range(200)]
+    assert 0.01 < np.mean(np.array(ps) < 0.05) < 0.12
+    assert shapiro_wilk(r.exponential(size=200))[1] < 1e-6 and shapiro_wilk([1, 1, 1]) == (1.0, 1.0)
