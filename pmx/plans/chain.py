@@ -9,7 +9,7 @@ from pmx.functions import d, rnd
 from pmx.operators.tokens import pool_positions, pool_resolution, token_positions, token_resolution
 from pmx.plans.categories import calibration
 from pmx.registry import register
-from pmx.views import collateral_list, oracle, p_markets, p_trades, pool_trades
+from pmx.views import blocks, collateral_list, oracle, p_markets, p_trades, pool_trades
 
 C = F.col
 _POSITIONS = {
@@ -40,3 +40,26 @@ def p_calibration_metrics(spark, sf_dir):
     """Brier score, log loss and expected calibration error from a row a price."""
     c = rates(spark, sf_dir).select((d("price") / F.lit(100.0)).alias("p"), d("total_trades").alias("n"), d("wins").alias("w"))
     return calibration(c.withColumn("all", F.lit(0)), "all").crossJoin(c.agg(F.sum("n").cast("long").alias("total_trades"))).drop("all")
+
+
+#: Fills and pool trades by block: the tokens of a pool trade are paid in a collateral of six places, and only those in USDC are dollars.
+_ALL = {"paid": """SELECT block_number, CASE WHEN maker_asset_id = '0' THEN maker_amount ELSE taker_amount END AS usd FROM p_trades
+  UNION ALL SELECT block_number, CASE WHEN c.fpmm_address IS NOT NULL THEN CAST(amount AS DOUBLE) / 1000000 ELSE 0 END FROM pool_trades t LEFT JOIN (SELECT fpmm_address FROM collateral_list WHERE collateral_symbol = 'USDC') c ON LOWER(t.fpmm_address) = c.fpmm_address"""}
+
+
+def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block_number, usd) of every trade of the order book and of the pools; trades in other collateral count, but hold no dollars."""
+    p = p_trades(spark, sf_dir).select("block_number", F.when(C("maker_asset_id") == "0", C("maker_amount")).otherwise(C("taker_amount")).alias("usd"))
+    usdc = collateral_list(spark, sf_dir).filter("collateral_symbol = 'USDC'").select("fpmm_address", F.lit(True).alias("usdc"))
+    t = pool_trades(spark, sf_dir).select("block_number", F.lower("fpmm_address").alias("fpmm_address"), "amount").join(usdc, "fpmm_address", "left")
+    return p.unionByName(t.select("block_number", F.when(C("usdc"), d("amount") / F.lit(1000000.0)).otherwise(0.0).alias("usd")))
+
+
+@register("p_all_quarterly", oracle("""SELECT CAST(DATE_TRUNC('quarter', ts) AS TIMESTAMP) AS quarter, CAST(SUM(n) AS BIGINT) AS trades, ROUND(SUM(usd), 2) AS volume FROM (SELECT block_number // 100 AS bucket, COUNT(*) AS n, SUM(usd) AS usd FROM paid GROUP BY 1) t
+  JOIN (SELECT block_number // 100 AS bucket, MIN(CAST(REPLACE(timestamp, 'Z', '') AS TIMESTAMP)) AS ts FROM blocks GROUP BY 1) b ON t.bucket = b.bucket GROUP BY 1""", **_ALL))
+def p_all_quarterly(spark, sf_dir):
+    """Trades and dollars a quarter, pools included: summed by coarse buckets of blocks before the join with their times."""
+    bucket = F.floor(C("block_number") / 100).cast("long").alias("bucket")
+    t = paid(spark, sf_dir).groupBy(bucket).agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    b = blocks(spark, sf_dir).groupBy(bucket).agg(F.min(F.to_timestamp_ntz(F.regexp_replace("timestamp", "Z$", ""))).alias("ts"))
+    return t.join(b, "bucket").groupBy(F.date_trunc("quarter", "ts").cast("timestamp_ntz").alias("quarter")).agg(F.sum("n").alias("trades"), rnd(F.sum("usd"), 2).alias("volume"))

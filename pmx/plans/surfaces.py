@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,12 +177,28 @@ def t9c_corr(spark, sf_dir):
     return aligned(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("n"), rnd(F.corr("ra", "rb")).alias("pearson"))
 
 
+def _middle_rank(value: str, by: list[str]) -> Column:
+    """Middle ranks need the counts of values only: those before, and half of the equal ones."""
+    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return F.sum("n").over(w) - (C("n") - 1) / F.lit(2.0)
+
+
+@register("t9c_spearman", oracle("""SELECT a, b, COUNT(*) AS n, ROUND(CORR(x, y), 6) AS spearman FROM (SELECT a, b, RANK() OVER (PARTITION BY a, b ORDER BY ra) + (COUNT(*) OVER (PARTITION BY a, b, ra) - 1) / 2.0::DOUBLE AS x, RANK() OVER (PARTITION BY a, b ORDER BY rb) + (COUNT(*) OVER (PARTITION BY a, b, rb) - 1) / 2.0::DOUBLE AS y FROM al) GROUP BY 1, 2""", **_DEP))
+def t9c_spearman(spark, sf_dir):
+    """Rank correlation of a pair's changes: equal changes share their middle rank, found from counts of values."""
+    x = aligned(spark, sf_dir)
+    for v, r in (("ra", "x"), ("rb", "y")):
+        ranks = x.groupBy("a", "b", v).agg(F.count("*").alias("n")).withColumn(r, _middle_rank(v, ["a", "b"])).select("a", "b", v, r)
+        x = x.join(ranks, ["a", "b", v])
+    return x.groupBy("a", "b").agg(F.count("*").alias("n"), rnd(F.corr("x", "y")).alias("spearman"))
+
+
 @register("t9c_tail", oracle("""SELECT al.a, al.b, ROUND(AVG(CASE WHEN rb >= q.bu THEN 1.0 ELSE 0.0 END) FILTER (ra >= q.au), 6) AS upper, ROUND(AVG(CASE WHEN rb <= q.bl THEN 1.0 ELSE 0.0 END) FILTER (ra <= q.al), 6) AS lower FROM al JOIN q ON al.a = q.a AND al.b = q.b GROUP BY 1, 2""",
-    **_DEP, q="SELECT a, b, QUANTILE_CONT(ra, 0.9) AS au, QUANTILE_CONT(rb, 0.9) AS bu, QUANTILE_CONT(ra, 0.1) AS al, QUANTILE_CONT(rb, 0.1) AS bl FROM al GROUP BY 1, 2"))
+    **_DEP, q="SELECT a, b, QUANTILE_CONT(ra, 0.95) AS au, QUANTILE_CONT(rb, 0.95) AS bu, QUANTILE_CONT(ra, 0.05) AS al, QUANTILE_CONT(rb, 0.05) AS bl FROM al GROUP BY 1, 2"))
 def t9c_tail(spark, sf_dir):
-    """Chance that b is in its tail when a is: upper and lower tenth."""
+    """Chance that b is in its tail when a is: upper and lower twentieth."""
     x = aligned(spark, sf_dir)
     q = lambda c, p: F.percentile(c, F.lit(p))
-    cut = x.groupBy("a", "b").agg(q("ra", 0.9).alias("au"), q("rb", 0.9).alias("bu"), q("ra", 0.1).alias("al"), q("rb", 0.1).alias("bl"))
+    cut = x.groupBy("a", "b").agg(q("ra", 0.95).alias("au"), q("rb", 0.95).alias("bu"), q("ra", 0.05).alias("al"), q("rb", 0.05).alias("bl"))
     hit = lambda c: F.when(c, 1.0).otherwise(0.0)
     return x.join(cut, ["a", "b"]).groupBy("a", "b").agg(rnd(F.avg(F.when(C("ra") >= C("au"), hit(C("rb") >= C("bu"))))).alias("upper"), rnd(F.avg(F.when(C("ra") <= C("al"), hit(C("rb") <= C("bl"))))).alias("lower"))

@@ -71,7 +71,7 @@ def pool_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, quantity = F.col("l_partkey").cast("string"), F.col("l_quantity").cast("double")
     whole = lambda x: x.cast("long").cast("string")
     return raw(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
-        F.concat(F.lit("0x"), part).alias("fpmm_address"), whole(quantity * (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 97) * 10000).alias("amount"),
+        F.datediff(F.col("l_shipdate").cast("date"), F.to_date(F.lit(EPOCH))).cast("long").alias("block_number"), F.concat(F.lit("0x"), part).alias("fpmm_address"), whole(quantity * (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 97) * 10000).alias("amount"),
         whole(quantity * 1000000).alias("outcome_tokens"), (F.col("l_linenumber") % 2).cast("int").alias("outcome_index"))
 
 
@@ -112,7 +112,7 @@ CTES = {
   CONCAT('["', CAST(p_partkey AS VARCHAR), '","', CAST(p_partkey AS VARCHAR), 'N"]') AS clob_token_ids,
   CASE WHEN p_size % 3 = 0 THEN '["1","0"]' WHEN p_size % 3 = 1 THEN '["0","1"]' ELSE '["0.6","0.4"]' END AS outcome_prices,
   p_size % 5 <> 0 AS closed, p_retailprice AS volume, CONCAT('0X', CAST(p_partkey AS VARCHAR)) AS market_maker_address FROM part""",
-    "pool_trades": """SELECT CONCAT('0x', CAST(l_partkey AS VARCHAR)) AS fpmm_address, CAST(CAST(CAST(l_quantity AS DOUBLE) * (1 + (l_orderkey + l_linenumber) % 97) * 10000 AS BIGINT) AS VARCHAR) AS amount,
+    "pool_trades": """SELECT CAST(DATEDIFF('day', TIMESTAMP '1995-01-01 00:00:00', l_shipdate) AS BIGINT) AS block_number, CONCAT('0x', CAST(l_partkey AS VARCHAR)) AS fpmm_address, CAST(CAST(CAST(l_quantity AS DOUBLE) * (1 + (l_orderkey + l_linenumber) % 97) * 10000 AS BIGINT) AS VARCHAR) AS amount,
   CAST(CAST(CAST(l_quantity AS DOUBLE) * 1000000 AS BIGINT) AS VARCHAR) AS outcome_tokens, CAST(l_linenumber % 2 AS INTEGER) AS outcome_index FROM lineitem WHERE l_returnflag = 'R'""",
     "collateral_list": """SELECT CONCAT('0x', CAST(p_partkey AS VARCHAR)) AS fpmm_address, CASE WHEN p_partkey % 3 = 0 THEN 'USDC' ELSE 'WETH' END AS collateral_symbol FROM part""",
     "blocks": """SELECT DISTINCT CAST(DATEDIFF('day', TIMESTAMP '1995-01-01 00:00:00', l_shipdate) AS BIGINT) AS block_number,

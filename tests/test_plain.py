@@ -129,3 +129,45 @@ def test_evolution(spark, sf, coverage, some):
     assert got.keys() == want.keys() and (want or not some)
     for k, (n, mean, sd) in want.items():
         assert got[k][0] == n and got[k][1:] == (pytest.approx(mean), pytest.approx(sd, abs=1e-6))
+
+
+def test_odd_transitions_are_found(spark, tmp_path):
+    """Bursts of one time after quiet markets: each odd change of state that can be, with the SQL's rows."""
+    import datetime
+
+    import duckdb
+
+    from pmx import registry
+
+    day, rows = datetime.datetime(2024, 1, 1), []
+
+    def price(event, user):
+        return 1 + (event * 37 + user * 11) % 99
+
+    def trade(user, hours, wanted):
+        event = next(e for e in range(len(rows) * 200, len(rows) * 200 + 200) if wanted(price(e, user)))
+        rows.append((event, user, day + datetime.timedelta(hours=hours), "click", 3.0, "{}"))
+
+    mid, edge = (lambda p: 20 < p < 80), (lambda p: p > 90)
+    for hours in (1, 40):  # quiet, then a burst at the edge: EARLY_TRADING or NEWLY_LISTED before
+        trade(8, hours, mid)
+    for _ in range(16):
+        trade(8, 60, edge)
+    for hours in (1, 2):
+        trade(16, hours, mid)
+    for _ in range(40):  # new, then a burst in the middle
+        trade(16, 3, mid)
+    for k in range(7):  # one a day and a half: dormant, then a burst at the edge
+        trade(24, 36 * k, mid)
+    for _ in range(20):
+        trade(24, 36 * 7, edge)
+    spark.createDataFrame([(u, f"c{u}", "BUILDING", 1, 1.0) for u in (8, 16, 24)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["t8_anomalies"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("customer", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["t8_anomalies"])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+    assert {"sudden_resolution"} <= {r["transition_type"] for r in got.collect()} and got.count() >= 2
