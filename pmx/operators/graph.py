@@ -160,13 +160,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     its own is used only on a single machine (tests); a cluster has to name one. Tables go when the driver ends.
     """
     spark = df.sparkSession
+    path = work_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; it goes when the driver ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/pmx-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/pmx-{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _written: list[str] = []

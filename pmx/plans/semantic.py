@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from pmx.functions import d, rnd
 from pmx.operators.density import density_clusters
-from pmx.operators.graph import checkpointed, label_propagation
+from pmx.operators.graph import checkpointed, label_propagation, work_folder
 from pmx.operators.vectors import approximate_pairs, compared, fit_cells, hashed_tfidf, index_blocks, moments, near_pairs, principal_components, project
 from pmx.registry import register
+from pmx.sources.datasets import in_batches
 from pmx.views import oracle, p_markets, raw
 
 C = F.col
@@ -210,7 +211,8 @@ def classify(pairs: DataFrame, classifier: Callable[[pd.DataFrame], pd.Series] =
 
 @register("t9b_classified")
 def t9b_classified(spark, sf_dir):
-    return classify(exact_pairs(_vectors(spark, sf_dir), 0.3))
+    """Pairs with their relations, in batches that a restart with the same folder would not do again."""
+    return in_batches(checkpointed(exact_pairs(_vectors(spark, sf_dir), 0.3)), ["a", "b"], classify, work_folder(spark, "classified"), batches=4)
 
 
 @register("match_quality", oracle("""SELECT quality, COUNT(*) AS n, ROUND(AVG(gap), 6) AS avg_gap FROM (SELECT CASE WHEN x.closed AND y.closed THEN 'both_settled' WHEN NOT x.closed AND NOT y.closed THEN 'both_active' WHEN ABS(x.volume - y.volume) <= 15 THEN 'close' ELSE 'poor' END AS quality, ABS(x.volume - y.volume) AS gap

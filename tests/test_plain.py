@@ -171,3 +171,33 @@ def test_odd_transitions_are_found(spark, tmp_path):
     columns = [c[0] for c in want.description]
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
     assert {"sudden_resolution"} <= {r["transition_type"] for r in got.collect()} and got.count() >= 2
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pmx.sources.datasets import in_batches
+
+    done, fail_at = [], 3
+
+    def work(part):
+        ids = [r["i"] for r in part.select("i").collect()]
+        if len(done) == fail_at:
+            raise RuntimeError("the service went away")
+        done.append(ids)
+        return part.withColumn("out", F.col("i") * 10)
+
+    df = spark.range(100).select(F.when(F.col("id") > 0, F.col("id")).alias("i"))
+    path = f"{tmp_path}/results"
+    with pytest.raises(RuntimeError):
+        in_batches(df, ["i"], work, path, 5)
+    (tmp_path / "results" / "run-1" / "batch-999999").mkdir()  # half written: no mark
+    fail_at = -1
+    out = in_batches(df, ["i"], work, path, 5)
+    assert sorted((r["i"] or 0, r["out"] or 0) for r in out.collect()) == [(i, 10 * i) for i in range(100)]
+    assert sum(len(x) for x in done) == 100 and len(done) == 5  # no row twice
+    more = spark.range(90, 120).select(F.col("id").alias("i"))
+    assert in_batches(more, ["i"], work, path, 5).count() == 120
+    assert sum(len(x) for x in done) == 120
+    assert in_batches(more, ["i"], work, path, 5).count() == 120 and sum(len(x) for x in done) == 120
+    assert in_batches(df.limit(0), ["i"], work, f"{tmp_path}/none", 8).count() == 0
