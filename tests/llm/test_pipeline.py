@@ -71,3 +71,31 @@ def test_stages(spark, sf):
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+MESSY = [(1, "A first line that says one thing and then some more of it, at length, as lines do.\nAnd a second line with quite other words in it, so that the text is long enough to stay."), (1, None), (2, ""), (None, None),
+         (None, "A text without an id, which has words enough of its own to be kept by the base rule, since it holds more than twenty of them in all."), (3, "!!! ###"), (4, "word " * 3000)]
+
+
+def test_stages_on_empty_and_messy_tables(spark, sf):
+    """Empty tables, null and repeated ids, equal rows, and columns named like those that stages make."""
+    import corpus_pipeline
+    from pmx.llm.common import durable
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, stays boolean, n long, _h long, h string, quality int, kept boolean, score double"
+    row = lambda i, t: (i, t, "en", "s", None, True, 7, 8, "h", 1, False, 0.5)
+    for rows in ([], [row(i, t) for i, t in MESSY] * 2):
+        docs = spark.createDataFrame(rows, schema)
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = durable(stage(spark, docs, sf), f"messy-{name}")
+            if name != "packing":
+                assert out.columns == docs.columns and out.count() <= before, name
+                docs, before = out, out.count()
+        packed = out.select("doc_id", "length").collect()
+        assert len(packed) == before  # a piece a document, as all are short
+        if rows:
+            kept = {(r["doc_id"], r["text"]) for r in docs.collect()}
+            assert (None, MESSY[4][1]) in kept and len(kept) == before  # equal rows are one, the text without an id stays
+            assert not any(t in (None, "", "!!! ###") for _, t in kept)
+            assert {(r["stays"], r["n"], r["_h"], r["h"], r["quality"]) for r in docs.collect()} == {(True, 7, 8, "h", 1)}
