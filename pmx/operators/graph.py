@@ -54,7 +54,7 @@ def louvain(edges: DataFrame, levels: int = 12, rounds: int = 24, least: float =
 
     In a round every node looks at the communities of its neighbours, and half of the nodes, another half each
     time, move to where modularity gains most (of equals the smallest label); a node alone joins another one alone only if that has the smaller label, so two never
-    swap. Rounds of a level end when modularity rises by less than ``least``, and the best state counts. Then
+    swap. Rounds of a level end when two of them raise modularity by less than ``least``, and the best state counts. Then
     communities become nodes, their inner weight a loop. A round is two joins and two aggregates over
     tables; no task holds a community. Weights are decimals of six places, so sums do not depend on their order. Labels are the smallest node.
     """
@@ -74,15 +74,16 @@ def louvain(edges: DataFrame, levels: int = 12, rounds: int = 24, least: float =
         start, best, best_q = nodes, None, None
         for r in range(rounds):
             moved = checkpointed(_moves(links, nodes, total, level * rounds + r))
-            square = nodes.groupBy("c").agg(F.sum("k").cast("double").alias("t")).agg(F.sum((C("t") / total) * (C("t") / total)))
-            inside, wish, square = moved.agg(F.sum("own_in").cast("double"), F.count_if("wish")).crossJoin(F.broadcast(square)).first()  # one row each
-            q = (inside + inner) / total - square
-            if best is not None and q < best_q + (least if r % 2 == 0 else 0):
-                best, best_q = (nodes, q) if q > best_q else (best, best_q)
-                break
-            best, best_q = nodes, q
-            if not wish:
-                break
+            if r % 2 == 0:  # both halves have had their turn
+                square = nodes.groupBy("c").agg(F.sum("k").cast("double").alias("t")).agg(F.sum((C("t") / total) * (C("t") / total)))
+                inside, wish, square = moved.agg(F.sum("own_in").cast("double"), F.count_if("wish")).crossJoin(F.broadcast(square)).first()  # one row each
+                q = (inside + inner) / total - square
+                if best is not None and q < best_q + least:
+                    best = nodes if q > best_q else best
+                    break
+                best, best_q = nodes, q
+                if not wish:
+                    break
             nodes = moved.select("node", "k", "loop", C("to").alias("c"))
         if best is None or best is start or not best.filter("node != c").take(1):
             break
