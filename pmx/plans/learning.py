@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pmx.functions import d, rnd, seconds_between
+from pmx.operators.graph import checkpointed
 from pmx.plans.categories import calibration
 from pmx.plans.prices import resolved
 from pmx.registry import register
@@ -38,16 +39,59 @@ def split(df: DataFrame, holdout_days: int = 7) -> tuple[DataFrame, DataFrame]:
     return x.filter("created_time < edge").drop("edge"), x.filter("created_time >= edge").drop("edge")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out rows with the model's chance p beside the implied one."""
+def fit_and_score(train: DataFrame, test: DataFrame, columns: list[str], trees: int = 10) -> DataFrame:
+    """``test`` with the chance p of a boosted model of ``train``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    va = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    train, test = (va.transform(s) for s in split(features(spark, sf_dir)))
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=10, maxDepth=3, stepSize=0.1, seed=11).fit(train.select("x", "label"))
-    return model.transform(test).select("trade_id", "label", "implied", vector_to_array("probability")[1].alias("p"))
+    va = VectorAssembler(inputCols=columns, outputCol="x")
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, stepSize=0.1, seed=11).fit(va.transform(train).select("x", "label"))
+    return model.transform(va.transform(test)).withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows with the model's chance p beside the implied one, as a table."""
+    train, test = split(checkpointed(features(spark, sf_dir)))
+    return checkpointed(fit_and_score(train, test, FEATURES).select("trade_id", "label", "implied", "p"))
+
+
+def log_loss(p: str):
+    x = F.least(F.greatest(C(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return -F.avg(C("label") * F.log(x) + (1 - C("label")) * F.log(1 - x))
+
+
+#: Sets of features that a fold chooses from.
+CHOICES = {"price": FEATURES[:1], "price and trade": FEATURES[:3] + FEATURES[-1:], "all": FEATURES}
+
+
+def walk_forward(table: DataFrame, days: int = 7, choices: dict[str, list[str]] = CHOICES) -> DataFrame:
+    """Every row from the third fold on, with fold, choice and the chance p of a model that saw earlier folds only.
+
+    Folds are stretches of ``days`` from the first row. Of a fold's past the last stretch is kept to choose the features on, by log loss; the model is
+    then fitted on all of the past. The number of folds is that of the stretches, never of rows. A past of one label is left out.
+    """
+    start = table.agg(F.date_trunc("day", F.min("created_time")).cast("timestamp_ntz").alias("start"))
+    t = checkpointed(table.crossJoin(F.broadcast(start)).withColumn("fold", F.floor(seconds_between(C("created_time"), C("start")) / F.lit(86400.0 * days)).cast("int")).drop("start"))  # one row
+    out = None
+    for fold in range(2, 1 + (t.agg(F.max("fold")).first()[0] or 0)):
+        past, past_but_last, last, now = (t.filter(x) for x in (C("fold") < fold, C("fold") < fold - 1, C("fold") == fold - 1, C("fold") == fold))
+        if past_but_last.select("label").distinct().count() < 2 or not last.take(1) or not now.take(1):
+            continue
+        loss = {name: fit_and_score(past_but_last, last, columns, 5).agg(log_loss("p")).first()[0] for name, columns in choices.items()}
+        best = min(loss, key=lambda k: (loss[k], k))
+        part = fit_and_score(past, now, choices[best]).withColumn("choice", F.lit(best))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else t.limit(0).withColumn("p", F.lit(0.0)).withColumn("choice", F.lit(""))
+
+
+@register("ml_weekly")
+def ml_weekly(spark, sf_dir):
+    """Each week's log loss and Brier score of the model and of the price, and which features it chose."""
+    w = walk_forward(features(spark, sf_dir))
+    brier = lambda c: F.avg((C(c) - C("label")) * (C(c) - C("label")))
+    m = w.groupBy("fold", "choice").agg(F.count("*").alias("n"), log_loss("p").alias("model_log_loss"), log_loss("implied").alias("price_log_loss"), brier("p").alias("model_brier"), brier("implied").alias("price_brier"))
+    return m.withColumn("better", C("model_log_loss") < C("price_log_loss"))
 
 
 @register("ml_split_metrics")

@@ -34,10 +34,10 @@ def every_hundredth_trade(spark, sf_dir):
     return k_trades(spark, sf_dir).select("ticker", "trade_id", F.row_number().over(w).cast("long").alias("n")).filter("n % 100 = 1")
 
 
-@register("hash_sample")
+@register("hash_sample", oracle("SELECT trade_id, ticker, SUBSTR(sha256('42:' || CAST(trade_id AS VARCHAR)), 1, 16) AS h FROM k_trades ORDER BY h, trade_id LIMIT 500"))
 def hash_sample(spark, sf_dir, rows: int = 500, seed: int = 42):
-    """A repeatable sample: the rows with the smallest hashes."""
-    h = F.xxhash64("trade_id", F.lit(seed))
+    """A repeatable sample: the rows with the smallest hashes, by a hash that other engines have too."""
+    h = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), C("trade_id").cast("string")), 256), 1, 16)
     return k_trades(spark, sf_dir).select("trade_id", "ticker", h.alias("h")).orderBy("h", "trade_id").limit(rows)
 
 

@@ -201,3 +201,25 @@ def test_batches_go_on_where_they_stopped(spark, tmp_path):
     assert sum(len(x) for x in done) == 120
     assert in_batches(more, ["i"], work, path, 5).count() == 120 and sum(len(x) for x in done) == 120
     assert in_batches(df.limit(0), ["i"], work, f"{tmp_path}/none", 8).count() == 0
+
+
+def test_walk_forward_never_sees_the_future(spark, monkeypatch):
+    import datetime
+
+    from pmx.plans import learning
+
+    rows = [(k, datetime.datetime(2024, 1, 1, 5) + datetime.timedelta(hours=7 * k), float(k % 3 == 0), 0.3, float(k % 5)) for k in range(120)]
+    table = spark.createDataFrame(rows, "trade_id long, created_time timestamp_ntz, label double, implied double, x double")
+    seen = []
+
+    def fit_and_score(train, test, columns, trees=10):
+        seen.append((train.count(), trees, columns, train.toPandas()["created_time"].max() < test.toPandas()["created_time"].min()))
+        return test.withColumn("p", test["label"] * 0.5 + 0.25 if columns == ["x"] else test["implied"])
+
+    monkeypatch.setattr(learning, "fit_and_score", fit_and_score)
+    got = learning.walk_forward(table, 7, {"a": ["implied"], "b": ["x"]}).collect()
+    fold = {k: (t - datetime.datetime(2024, 1, 1)).days // 7 for k, t, *_ in rows}
+    assert sorted((r["trade_id"], r["fold"], r["choice"]) for r in got) == sorted((k, f, "b") for k, f in fold.items() if f >= 2)
+    assert all(before for *_, before in seen) and len(seen) == 3 * (max(fold.values()) - 1)
+    assert [n for n, trees, *_ in seen if trees == 10] == [sum(f < k for f in fold.values()) for k in range(2, max(fold.values()) + 1)]
+    assert learning.walk_forward(table.limit(0)).count() == 0
