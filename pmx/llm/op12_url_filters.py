@@ -45,24 +45,24 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Rules:
-    """Rules by host: the names that a host ends with, at its dots, are looked up one by one."""
+    """Rules by host: of a host the ends as long as some rule's host are looked up, where a dot or nothing stands before them."""
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
         for rule in rules:
             self.by_host.setdefault(rule[1], []).append(rule)
+        self.lengths = sorted({len(h) for h in self.by_host}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest rule that fits, as (host and path, verdict); of equally long ones that with the longer host."""
-        best, at = None, 0
-        while self.by_host:
-            for verdict, h, p in self.by_host.get(host[at:], ()):
-                if path.startswith(p) and (best is None or len(h + p) > len(best[0])):
-                    best = h + p, verdict
-            at = host.find(".", at) + 1
-            if not at:
-                return best
-        return None
+        best = None
+        for n in self.lengths:
+            at = len(host) - n
+            if at == 0 or at > 0 and host[at - 1] == ".":
+                for verdict, h, p in self.by_host.get(host[at:], ()):
+                    if path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+                        best = h + p, verdict
+        return best
 
 
 class Terms:

@@ -113,6 +113,7 @@ URLS = {
     "https://a.com/pornography": ("a.com", "/pornography", None, "allow"), "https://a.com/éporn": ("a.com", "/éporn", None, "allow"), "https://a.com/7porn_": ("a.com", "/7porn_", None, "block"),
     "https://free.com/free/free": ("free.com", "/free/free", None, "allow"), "https://free.com/a-casino": ("free.com", "/a-casino", None, "block"), "https://a.com/?q=porn#porn": ("a.com", "/", None, "allow"),
     "https://essex.com/unicorn%FF%": ("essex.com", "/unicorn%FF%", None, "allow"), "s://Ä.com/Ä": ("Ä.com", "/Ä", None, "allow"), "a://b://c": ("b:", "//c", None, "allow"),
+    "https://" + "a." * 200_000 + "net/": ("a." * 200_000 + "net", "/", "net/", "block"), "https://.net/": (".net", "/", "net/", "block"),
     "https://a.com/" + "free/" * 50_000: ("a.com", "/" + "free/" * 50_000, None, "allow"),
 }
 
@@ -131,6 +132,20 @@ def test_urls(spark, empty):
     assert url_verdicts(pages, rules=[], weights={}).filter("verdict = 'block' or rule is not null").count() == 0
 
 
+def test_rules_against_plain_search():
+    from pmx.llm.op12_url_filters import Rules
+
+    for seed in range(200):
+        r = random.Random(seed)
+        name = lambda n: ".".join(r.choices(["a", "b", "ab"], k=n))  # noqa: B023, E731
+        rules = list({(h, p): (r.choice(["allow", "block"]), h, p) for h, p in ((name(r.randint(1, 3)), "/" + "x" * r.randint(0, 3)) for _ in range(6))}.values())
+        find = Rules(rules).find
+        for _ in range(20):
+            host, path = name(r.randint(1, 4)), "/" + "x" * r.randint(0, 3)
+            fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            assert find(host, path) == (max(fits)[2:] if fits else None)
+
+
 def test_terms_against_plain_search():
     from pmx.llm.op12_url_filters import Terms, vocabulary
 
