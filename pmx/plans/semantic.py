@@ -118,7 +118,7 @@ def t9a_pairs_lsh(spark, sf_dir):
 
 
 #: Of so many cells, so many are probed where vectors are noise.
-NOISE_CELLS, NOISE_PROBES = 24, 16
+NOISE_CELLS, NOISE_PROBES = 48, 16
 #: Title vectors: words are hashed to so many buckets, the vectors reduced to so many dimensions; pairs of titles have this cosine.
 TITLE_BUCKETS, TITLE_DIMS, TITLE_COSINE, TITLE_PROBES = 1024, 50, 0.8, 2
 
