@@ -18,23 +18,29 @@ _STATE = "size long, cluster long, mass double, below double, members array<long
 _OUT = f"kind string, id long, target long, {_STATE}, stability double, selected boolean"
 
 
-def core_distances(pairs: DataFrame, samples: int, beyond: float, salts: int = 32) -> DataFrame:
+def core_distances(pairs: DataFrame, samples: int, beyond: float, salts: int = 32, copies: DataFrame | None = None) -> DataFrame:
     """node, core: the distance to the ``samples``-th nearest, itself the first; ``beyond`` where fewer are known.
 
-    The nearest are taken within shares of a node's neighbours first, so that no task sorts those of one node.
+    The nearest are taken within shares of a node's neighbours first, so that no task sorts those of one node. With ``copies``
+    (node, n) a node stands for n of one place: so many count as its neighbours' neighbour, and the others of its own at distance 0.
     """
     both = pairs.select(C("a").alias("node"), C("b").alias("other"), "distance").unionByName(pairs.select(C("b").alias("node"), C("a").alias("other"), "distance"))
+    if copies is None:
+        both = both.withColumn("n", F.lit(1).cast("long"))
+    else:
+        own = copies.filter("n > 1").select("node", C("node").alias("other"), F.lit(0.0).alias("distance"), (C("n") - 1).alias("n"))
+        both = both.join(copies.select(C("node").alias("other"), "n"), "other").unionByName(own)
     k = max(samples - 1, 1)
     place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("distance", "other"))
     few = both.withColumn("share", F.pmod(F.xxhash64("other"), F.lit(salts))).withColumn("i", place("node", "share")).filter(C("i") <= k)
     near = few.withColumn("i", place("node")).filter(C("i") <= k)
-    full = F.max(F.when(C("i") == k, C("distance")))
+    near = near.withColumn("sum", F.sum("n").over(W.partitionBy("node").orderBy("i")))
+    full = F.min(F.when(C("sum") >= k, C("distance")))
     return near.groupBy("node").agg(F.coalesce(full, F.lit(float(beyond))).alias("core"))
 
 
-def mutual_reachability(pairs: DataFrame, samples: int, beyond: float) -> DataFrame:
-    """(a, b, weight): the distance, or a core distance of its ends if that is larger."""
-    core = checkpointed(core_distances(pairs, samples, beyond))
+def mutual_reachability(pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """(a, b, weight): the distance, or a core distance (node, core) of its ends if that is larger."""
     at = lambda c: core.select(C("node").alias(c), C("core").alias(f"{c}_core"))
     return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.greatest("distance", "a_core", "b_core").alias("weight"))
 
@@ -89,24 +95,35 @@ def _merge(smallest: int):
     return merge
 
 
-def density_clusters(pairs: DataFrame, smallest: int = 5, samples: int = 5, beyond: float = 1.0, single: bool = False) -> DataFrame:
+def density_clusters(pairs: DataFrame, smallest: int = 5, samples: int = 5, beyond: float = 1.0, single: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """node, cluster, of every node of pairs (a, b: long, distance); cluster is its smallest node, null for noise.
 
     The hierarchy of single linkage over mutual reachability, without splits that leave fewer than ``smallest`` nodes; of it the clusters
     with the most excess of mass stay. It is built from below: edges of the spanning forest are merged in order, a bounded
     block in a task, and a component is passed on as its size, its cluster and two sums (with its nodes only while these
     are fewer than ``smallest``). A component with all clusters in it is the root and no cluster itself, unless ``single``. Pairs that are not given count as infinitely far apart.
+
+    ``copies`` (node, n) says how many of one place each node stands for: they count as n nodes, joined at the node's core distance, and
+    are never made. A node of two or more is a node without pairs too.
     """
-    forest = checkpointed(spanning_forest(mutual_reachability(pairs, samples, beyond)))
+    core = checkpointed(core_distances(pairs, samples, beyond, copies=copies))
+    forest = checkpointed(spanning_forest(mutual_reachability(pairs, core)))
     blocks = max(1, -(-forest.count() // BLOCK_EDGES))
     # a range of weights is a partition, and the partition's number is the block; places in it are in order
     edges = forest.repartitionByRange(blocks, "weight", "a", "b").sortWithinPartitions("weight", "a", "b") if blocks > 1 else forest.coalesce(1).sortWithinPartitions("weight", "a", "b")
     edges = checkpointed(edges.withColumn("rank", F.monotonically_increasing_id()))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if copies is None:
+        nodes = nodes.withColumn("n", F.lit(1).cast("long"))
+    else:
+        nodes = nodes.unionByName(copies.filter("n > 1").select("node")).distinct().join(copies, "node")
+    # enough copies are a cluster from the start, of a number below those of the merges
+    nodes = checkpointed(nodes.join(core, "node").withColumn("first", F.when(C("n") >= smallest, -1 - F.monotonically_increasing_id())))
     now = checkpointed(nodes.select("node", C("node").alias("comp")))
-    alone = F.struct(F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below"))
-    state = checkpointed(now.select("comp", alone.alias("s"), F.array("comp").alias("members")).select("comp", "s.*", "members"))
-    points = clusters = None
+    mass, members = C("n") / F.greatest("core", F.lit(LEAST)), F.array("node")
+    state = checkpointed(nodes.select(C("node").alias("comp"), C("n").alias("size"), C("first").alias("cluster"), F.when(C("first").isNull(), 0.0).otherwise(mass).alias("mass"), F.lit(0.0).alias("below"),
+                                      F.when(C("first").isNull(), members).otherwise(F.slice(members, 1, 0)).alias("members")))
+    nodes, points, clusters = nodes.select("node"), nodes.filter("first IS NOT NULL").select("node", C("first").alias("id")), None
     for block in range(blocks):
         part = edges.filter(F.shiftright("rank", 33) == block)
         for side in ("a", "b"):
@@ -119,7 +136,7 @@ def density_clusters(pairs: DataFrame, smallest: int = 5, samples: int = 5, beyo
         state = checkpointed(state.join(comp.select(C("id").alias("comp")), "comp", "left_anti").unionByName(comp.filter("id = target").select(C("id").alias("comp"), *keep)))
         now = checkpointed(now.join(comp.select(C("id").alias("comp"), "target"), "comp", "left").select("node", F.coalesce("target", "comp").alias("comp")))
         p, c = done.filter("kind = 'point'").select(C("id").alias("node"), C("target").alias("id")), done.filter("kind = 'cluster'").select("id", C("target").alias("up"), "selected")
-        points, clusters = (p, c) if points is None else (points.unionByName(p), clusters.unionByName(c))
+        points, clusters = points.unionByName(p), c if clusters is None else clusters.unionByName(c)
     tops = checkpointed(state.filter("cluster IS NOT NULL").select(C("cluster").alias("id"), F.lit(None).cast("long").alias("up"), (C("mass") >= C("below")).alias("selected")))
     if not single and len(tops.take(2)) < 2:
         tops = tops.withColumn("selected", F.lit(False))
