@@ -42,3 +42,15 @@ def test_title_queries_grow_with_the_titles(spark, sf, tmp_path):
     assert (one[1], four[1]) == (few, many) and four[2] == many  # every market has copies now
     recall = q["t9a_index_recall"](spark, str(tmp_path / "4")).first()
     assert recall["rows"] < few and recall["recall"] >= 0.9
+
+
+def test_keyword_pairs_grow_with_the_markets(spark, sf, tmp_path):
+    import duckdb
+    from pmx import registry
+
+    n = repeated_parts(spark, sf, str(tmp_path), 4)
+    got = {tuple(r) for r in registry.queries()["keyword_jaccard"](spark, str(tmp_path)).select("a", "b", "shared", "jaccard").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == set(con.execute(registry.oracle_sql()["keyword_jaccard"]).fetchall())
+    assert 3 * n / 4 <= len(got) < n  # not the pairs of copies
