@@ -49,3 +49,18 @@ def test_rounds_over_links_by_node_do_not_shuffle(spark):
     text = _plan(best)
     links.unpersist()
     assert "InMemoryTableScan" in text and "hashpartitioning" not in text
+
+
+def test_moves_over_links_by_node_do_not_shuffle_links(spark):
+    """A round looks at each node's communities without a shuffle of links, at those of a node without links too."""
+    from pmx.operators.graph import _WEIGHT, _moves, by_node, checkpointed
+
+    pairs = [(i, j, 1.0) for i in range(200) for j in range(200) if i != j] + [(i, i, 0.0) for i in range(201)]  # links are the larger table, as they are in a graph
+    links = by_node(spark.createDataFrame(pairs, "node long, other long, w double").select("node", "other", F.col("w").cast(_WEIGHT).alias("w")))
+    assert links.count() == len(pairs)  # kept from here on
+    nodes = checkpointed(spark.range(201).select(F.col("id").alias("node"), F.lit(199).cast(_WEIGHT).alias("k"), F.lit(0).cast(_WEIGHT).alias("loop"), F.col("id").alias("c")))
+    moved = _moves(links, nodes, 200 * 199.0, 0)
+    text, got = _plan(moved), {r["node"]: r for r in moved.collect()}
+    links.unpersist()
+    assert "hashpartitioning(node" not in text and "hashpartitioning(other" not in text and "hashpartitioning(oc" not in text
+    assert len(got) == 201 and got[200]["to"] == 200 and not got[200]["wish"] and got[200]["own_in"] == 0
