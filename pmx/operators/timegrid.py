@@ -24,12 +24,17 @@ def bars(trades: DataFrame, width: str) -> DataFrame:
 
 def gap_filled(b: DataFrame, interval: str) -> DataFrame:
     """All buckets from a ticker's first to its last. Missing prices are the previous close, missing
-    amounts are 0, vwap stays null; bar_return and bar_range follow the fill."""
-    span = b.groupBy("ticker").agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("z"))
-    grid = span.select("ticker", F.explode(F.sequence("a", "z", F.expr(interval))).alias("bar_start"))
-    w = W.partitionBy("ticker").orderBy("bar_start")
-    before = F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    j = grid.join(b, ["ticker", "bar_start"], "left").withColumn("_prev", before)
-    filled = j.select("ticker", "bar_start", *[F.coalesce(c, "_prev").alias(c) for c in ("open", "high", "low", "close")],
-                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("volume", "net_flow", "trade_count")], "vwap")
-    return filled.select("*", (C("close") - F.lag("close").over(w)).alias("bar_return"), (C("high") - C("low")).alias("bar_range"))
+    amounts are 0, vwap stays null; bar_return and bar_range follow the fill.
+
+    Only buckets with trades are shuffled and sorted: each is followed by the empty ones up to the next, which hold nothing
+    but its close, so they are made last, where they are written.
+    """
+    w, step = W.partitionBy("ticker").orderBy("bar_start"), F.expr(interval)
+    x = b.select("*", F.lead("bar_start").over(w).alias("_next"), F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_prev"))
+    run = F.sequence("bar_start", F.coalesce(C("_next") - step, C("bar_start")), step)
+    own, close = C("_i") == 0, F.coalesce("close", "_prev")
+    j = x.select(*b.columns, "_prev", F.posexplode(run).alias("_i", "_at"))
+    price = lambda c: F.when(own, F.coalesce(c, "_prev")).otherwise(close)
+    return j.select("ticker", C("_at").alias("bar_start"), *[price(c).alias(c) for c in ("open", "high", "low", "close")],
+                    *[F.when(own, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).alias(c) for c in ("volume", "net_flow", "trade_count")], F.when(own, C("vwap")).alias("vwap"),
+                    (close - F.when(own, C("_prev")).otherwise(close)).alias("bar_return"), (price("high") - price("low")).alias("bar_range"))

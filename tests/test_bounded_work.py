@@ -64,3 +64,18 @@ def test_moves_over_links_by_node_do_not_shuffle_links(spark):
     links.unpersist()
     assert "hashpartitioning(node" not in text and "hashpartitioning(other" not in text and "hashpartitioning(oc" not in text
     assert len(got) == 201 and got[200]["to"] == 200 and not got[200]["wish"] and got[200]["own_in"] == 0
+
+
+def test_gaps_are_filled_after_the_shuffle(spark):
+    """Only buckets with trades are shuffled and sorted, however many empty ones lie between them."""
+    from pmx.operators.timegrid import gap_filled
+
+    rows = [("A", "2024-01-01 00:00:00", 5, 7, 4, 6, 3, 1, 2, 5.5), ("A", "2024-01-01 00:15:00", None, None, None, None, None, None, 1, None), ("A", "2024-01-01 00:25:00", 8, 8, 8, 8, 1, 1, 1, 8.0), ("B", "2024-01-01 00:00:00", 1, 1, 1, 1, 1, 1, 1, 1.0)]
+    b = spark.createDataFrame(rows, "ticker string, t string, open int, high int, low int, close int, volume long, net_flow long, trade_count long, vwap double").withColumn("bar_start", F.to_timestamp_ntz("t")).drop("t")
+    filled = gap_filled(b, "INTERVAL 5 MINUTES")
+    text = _plan(filled)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text and text.index("Generate") < text.index("Exchange")  # the plan is written from its end
+    got = [tuple(r)[2:] for r in filled.filter("ticker = 'A'").orderBy("bar_start").collect()]
+    gap, quiet = (6, 6, 6, 6, 0, 0, 0, None, 0, 0), (6, 6, 6, 6, 0, 0, 1, None, 0, 0)
+    assert got == [(5, 7, 4, 6, 3, 1, 2, 5.5, None, 3), gap, gap, quiet, gap, (8, 8, 8, 8, 1, 1, 1, 8.0, 2, 0)]
+    assert filled.filter("ticker = 'B'").count() == 1
