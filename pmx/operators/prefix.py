@@ -29,6 +29,12 @@ def running_total(df: DataFrame, bucket: Column, order: list[str], value: str) -
     return x.join(b, "_b").select(*df.columns, cum.alias("cum"), peak.alias("peak"), (cum - peak).alias("drawdown"))
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums of each key in order, for keys that a task can sort: one shuffle, none if ``df`` is dealt by ``keys``."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.select("*", *[F.sum(c).over(w).alias(k) for k, c in sums.items()])
+
+
 def segmented(df: DataFrame, keys: list[str], segment: Column, order: list[str], sums: dict[str, Column] | None = None, count: str | None = None,
               lags: dict[str, Column] | None = None, leads: dict[str, Column] | None = None) -> DataFrame:
     """Adds running sums, a running count, values of the row before and of the row after, of each key in order, for keys of any number of rows.

@@ -79,3 +79,31 @@ def test_gaps_are_filled_after_the_shuffle(spark):
     gap, quiet = (6, 6, 6, 6, 0, 0, 0, None, 0, 0), (6, 6, 6, 6, 0, 0, 1, None, 0, 0)
     assert got == [(5, 7, 4, 6, 3, 1, 2, 5.5, None, 3), gap, gap, quiet, gap, (8, 8, 8, 8, 1, 1, 1, 8.0, 2, 0)]
     assert filled.filter("ticker = 'B'").count() == 1
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow with the rows, whatever the session's partitions; hot keys are those with more rows than the bound, and go their own way."""
+    from pmx.operators import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    monkeypatch.setattr(dealing, "HOT_ROWS", 40)
+    df = spark.range(200).select(F.when(F.col("id") < 100, "a").otherwise(F.col("id").cast("string")).alias("k"))
+    assert dealing.dealt(df, 2000, "k").rdd.getNumPartitions() == 201
+    assert "Exchange" not in _plan(dealing.dealt(df, 5, "k"))
+    hot = dealing.hot_keys(df, "k")
+    assert [tuple(r) for r in hot.collect()] == [("a",)]
+    assert dealing.hot_keys(df.filter("k != 'a'"), "k") is None
+    got = dealing.by_heat(df, hot, "k", lambda x: x.withColumn("w", F.lit(1)), lambda x: x.withColumn("w", F.lit(2))).groupBy("w").count().collect()
+    assert dict(map(tuple, got)) == {1: 100, 2: 100}
+
+
+def test_the_ledger_and_linked_trades_are_shuffled_once(spark, sf):
+    """Beside the join of fills, by the ledger's key or by the token; what follows needs no shuffle."""
+    from pmx import registry
+
+    for name in ("t3_ledger", "t7_cascade", "t7_sybil"):
+        df = registry.queries()[name](spark, sf)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        kinds = {line.split("hashpartitioning(")[1].split("#")[0] for line in text.split("\n") if "hashpartitioning(" in line and "orderkey" not in line}
+        assert len(kinds) == 1 and kinds <= {"address", "token_id"}, (name, kinds)
