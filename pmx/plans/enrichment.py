@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pmx.functions import category, ratio, rnd, seconds_between, signed_count, size_bucket, tte_bucket
+from pmx.operators.dealing import dealt
 from pmx.operators.prefix import segmented
 from pmx.operators.timegrid import bars, gap_filled
 from pmx.registry import register
-from pmx.views import k_markets, k_trades, oracle, p_markets, p_trades
+from pmx.views import k_markets, k_trades, oracle, p_markets, p_tokens, p_trades
 
 C = F.col
 PAST = (W.unboundedPreceding, 0)
@@ -47,6 +48,7 @@ def enrich_p(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(buy, ratio(C("maker_amount"), C("taker_amount"))).otherwise(ratio(C("taker_amount"), C("maker_amount"))).alias("norm_price"),
         F.when(buy, C("maker_amount")).otherwise(C("taker_amount")).alias("volume"), buy.alias("_buy"), "l_partkey", "l_suppkey")
     t = t.withColumn("signed_flow", F.when(C("_buy"), C("volume")).otherwise(-C("volume"))).drop("_buy")
+    t = dealt(t, p_tokens(spark, sf_dir).count(), "token_id")  # for the join and the window
     ids = p_markets(spark, sf_dir).select(C("id").alias("market_id"), F.explode(F.from_json("clob_token_ids", "array<string>")).alias("token_id"))
     w = W.partitionBy("token_id").orderBy("block_number", "log_index", "l_partkey", "l_suppkey", "volume", "norm_price")
     return t.join(ids, "token_id", "left").select("*", F.row_number().over(w).cast("long").alias("trade_sequence_num"), (C("norm_price") - F.lag("norm_price").over(w)).alias("delta_price"),
