@@ -18,13 +18,14 @@ _STATE = "size long, cluster long, mass double, below double, members array<long
 _OUT = f"kind string, id long, target long, {_STATE}, stability double, selected boolean"
 
 
-def core_distances(pairs: DataFrame, samples: int, beyond: float, salts: int = 32, copies: DataFrame | None = None) -> DataFrame:
+def core_distances(pairs: DataFrame, samples: int, beyond: float, salts: int = 32, copies: DataFrame | None = None, both: bool = False) -> DataFrame:
     """node, core: the distance to the ``samples``-th nearest, itself the first; ``beyond`` where fewer are known.
 
     The nearest are taken within shares of a node's neighbours first, so that no task sorts those of one node. With ``copies``
     (node, n) a node stands for n of one place: so many count as its neighbours' neighbour, and the others of its own at distance 0.
+    ``both``: ``pairs`` are (node, other, distance), of each node the nearest at least.
     """
-    both = pairs.select(C("a").alias("node"), C("b").alias("other"), "distance").unionByName(pairs.select(C("b").alias("node"), C("a").alias("other"), "distance"))
+    both = pairs if both else pairs.select(C("a").alias("node"), C("b").alias("other"), "distance").unionByName(pairs.select(C("b").alias("node"), C("a").alias("other"), "distance"))
     if copies is None:
         both = both.withColumn("n", F.lit(1).cast("long"))
     else:
@@ -107,7 +108,11 @@ def density_clusters(pairs: DataFrame, smallest: int = 5, samples: int = 5, beyo
     are never made. A node of two or more is a node without pairs too.
     """
     core = checkpointed(core_distances(pairs, samples, beyond, copies=copies))
-    forest = checkpointed(spanning_forest(mutual_reachability(pairs, core)))
+    return clusters_of_forest(checkpointed(spanning_forest(mutual_reachability(pairs, core))), core, smallest, single, copies)
+
+
+def clusters_of_forest(forest: DataFrame, core: DataFrame, smallest: int = 5, single: bool = False, copies: DataFrame | None = None) -> DataFrame:
+    """``density_clusters`` from the spanning forest (a, b, weight) of mutual reachability and the core distances (node, core), both written."""
     blocks = max(1, -(-forest.count() // BLOCK_EDGES))
     # a range of weights is a partition, and the partition's number is the block; places in it are in order
     edges = forest.repartitionByRange(blocks, "weight", "a", "b").sortWithinPartitions("weight", "a", "b") if blocks > 1 else forest.coalesce(1).sortWithinPartitions("weight", "a", "b")
