@@ -144,3 +144,38 @@ def test_overlaps_shuffle_no_pairs(spark, monkeypatch):
         got = df.collect()
         assert {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in got} == want and len(got) == len(want) > 1000
         assert "hashpartitioning" not in _plan(df) and "CartesianProduct" in _plan(df)
+
+
+def _disk(spark, folder, name, vectors):
+    """The rows of a query over vectors alone, and the bytes of the tables that it wrote."""
+    from pathlib import Path
+
+    from pmx import registry
+    from pmx.operators import graph
+
+    vectors.write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    before = len(graph._written)
+    rows = registry.queries()[name](spark, str(folder)).collect()
+    return rows, sum(f.stat().st_size for path in graph._written[before:] for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_pairs_of_vectors_are_not_written(spark, tmp_path, monkeypatch):
+    """Vectors that are all pairs: clusters write labels and no pairs, classified pairs are written once; blocks of any size find the same."""
+    from pmx.operators.graph import label_propagation
+    from pmx.plans import semantic
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8)) * 0.4 + np.repeat(np.eye(8)[:4] * 2, 100, axis=0)
+    vectors = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)] + [(5000, [-1.0] * 8)], "vec_id long, embedding array<float>")
+    pairs = semantic.exact_pairs(vectors, 0.3).cache()
+    n = pairs.count()
+    assert n > 15_000
+    want = {tuple(r) for r in label_propagation(pairs.select("a", "b", F.col("cosine").alias("weight"))).collect()}
+    found = {(r["a"], r["b"]): r["cosine"] for r in pairs.collect()}
+    pairs.unpersist()
+    for stripe, cell in ((1024, 4096), (90, 70)):
+        for c, v in (("STRIPE", stripe), ("CELL", cell), ("HELD", 500_000 if stripe > 90 else 100)):
+            monkeypatch.setattr(semantic, c, v, raising=False)
+        rows, size = _disk(spark, tmp_path / str(stripe), "t9a_clusters", vectors)
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want) and size < 8 * n
+    assert semantic.vector_labels(vectors.limit(0), 0.3).count() == 0
