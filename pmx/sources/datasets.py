@@ -47,14 +47,15 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), by).alias("_r")).select("_r.*")
 
 
-def in_batches(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], path: str, batches: int = 16) -> DataFrame:
+def in_batches(df: DataFrame | list[DataFrame], keys: list[str], work: Callable[[DataFrame], DataFrame], path: str, batches: int = 16) -> DataFrame:
     """The results of ``work`` over ``df``, done and kept a batch at a time under ``path``, so that work cut short goes on where it stopped.
 
     For work that is dear a row (calls to a service). A batch is the share of rows of one hash; its folder counts once Spark has marked it complete, so what
     a lost driver or executor left half written is done again. Rows whose keys are in a complete batch are not worked on a second time; later
-    rows make batches of their own. ``work`` keeps the keys; ``path`` is in a store that all share.
+    rows make batches of their own. ``work`` keeps the keys; ``path`` is in a store that all share. Each ``df`` of a list is a batch, so rows that are dear to make are made once and not kept.
     """
-    spark = df.sparkSession
+    parts = df if isinstance(df, list) else None
+    spark = parts[0].sparkSession if parts else df.sparkSession
 
     def complete() -> list[str]:
         root, store = _path(spark, path)
@@ -62,19 +63,26 @@ def in_batches(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataF
         return sorted(f.toString() for f in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
     ready = complete()
-    rest = df
-    if ready:
-        known = spark.read.parquet(*ready).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    known = spark.read.parquet(*ready).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct() if ready else None
+
+    def new(df: DataFrame) -> DataFrame:
+        if known is None:
+            return df
         same = F.lit(True)
         for i, k in enumerate(keys):
             same = same & df[k].eqNullSafe(known[f"_k{i}"])
-        rest = df.join(known, same, "left_anti")
+        return df.join(known, same, "left_anti")
+
     run = 1 + max((int(f.split("/")[-2].removeprefix("run-")) for f in ready), default=0)
-    share = F.pmod(F.xxhash64(*keys), F.lit(batches))
-    for b in [r[0] for r in rest.select(share.alias("b")).distinct().orderBy("b").collect()]:  # ``batches`` numbers at most
-        work(rest.filter(share == b)).write.mode("overwrite").parquet(f"{path}/run-{run}/batch-{b:06d}")
+    if parts:
+        todo = list(enumerate(new(x) for x in parts))
+    else:
+        rest, share = new(df), F.pmod(F.xxhash64(*keys), F.lit(batches))
+        todo = [(r[0], rest.filter(share == r[0])) for r in rest.select(share.alias("b")).distinct().orderBy("b").collect()]  # ``batches`` numbers at most
+    for b, part in todo:
+        work(part).write.mode("overwrite").parquet(f"{path}/run-{run}/batch-{b:06d}")
     ready = complete()
-    return spark.read.parquet(*ready) if ready else work(df)
+    return spark.read.parquet(*ready) if ready else work(parts[0] if parts else df)
 
 
 @dataclass

@@ -178,4 +178,6 @@ def test_pairs_of_vectors_are_not_written(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(semantic, c, v, raising=False)
         rows, size = _disk(spark, tmp_path / str(stripe), "t9a_clusters", vectors)
         assert {tuple(r) for r in rows} == want and len(rows) == len(want) and size < 8 * n
+        rows, size = _disk(spark, tmp_path / str(stripe), "t9b_classified", vectors)
+        assert len(rows) == n and all(abs(found[r["a"], r["b"]] - r["cosine"]) < 1e-9 for r in rows) and size < 20 * n
     assert semantic.vector_labels(vectors.limit(0), 0.3).count() == 0
